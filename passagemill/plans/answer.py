@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -27,41 +27,47 @@ def answer_events(inputs: DataFrame, deltas: DataFrame, errors: DataFrame) -> Da
 
     A retrieval error is the only event of its stream. Otherwise citations come
     first; then either the fixed answer or the deltas; then ``done``, or an
-    error if the model failed. Rows are built by unions, so an answer of any
-    length is never gathered.
+    error if the model failed. Deltas stay rows of their own, so an answer of any
+    length is never gathered. ``inputs`` is read twice and is best a stored table.
     """
-    data_type = STREAM_EVENT["data"].dataType
-    no_data = F.lit(None).cast(data_type)
+    stages = errors.groupBy("question_id").agg(
+        F.max(F.when(F.col("stage") == "retrieval", F.col("message"))).alias("_early"),
+        F.max(F.when(F.col("stage") == "model", F.col("message"))).alias("_late"),
+    )
+    called = inputs.filter(F.col("answer").isNull()).select("question_id")
+    refused = stages.filter(F.col("_early").isNotNull()).select("question_id")
+    spoken = (
+        deltas.filter(F.col("text") != "")
+        .join(called, "question_id", "left_semi")
+        .join(refused, "question_id", "left_anti")
+        .select("question_id", (F.col("seq") + 1).cast("bigint").alias("seq"), "text")
+    )
+    closes = spoken.groupBy("question_id").agg((F.max("seq") + 1).alias("_close"))
+    rows = inputs.join(stages, "question_id", "left").join(closes, "question_id", "left")
+
+    no_data = F.lit(None).cast(STREAM_EVENT["data"].dataType)
     no_text = F.lit(None).cast("string")
-    early = errors.filter(F.col("stage") == "retrieval").select("question_id", "message")
-    late = errors.filter(F.col("stage") == "model").select("question_id", "message")
-    live = inputs.join(early, "question_id", "left_anti")
 
-    def rows(df: DataFrame, seq, kind: str, data=no_data, text=no_text, message=no_text) -> DataFrame:
-        return df.select(
-            "question_id", seq.cast("bigint").alias("seq"), F.lit(kind).alias("type"),
+    def event(seq: Column, kind: str, data: Column = no_data, text: Column = no_text, message: Column = no_text) -> Column:
+        return F.struct(
+            seq.cast("bigint").alias("seq"), F.lit(kind).alias("type"),
             data.alias("data"), text.alias("text"), message.alias("message"),
         )
 
-    asked = live.filter(F.col("answer").isNull())
-    unanswered = live.filter(F.col("answer").isNotNull())
-    spoken = deltas.filter(F.col("text") != "").join(asked.select("question_id"), "question_id", "left_semi")
-    # Deltas take seq + 1; the closing event follows the last of them.
-    closes = spoken.groupBy("question_id").agg((F.max("seq") + 2).alias("_close"))
-    close_at = F.coalesce(F.col("_close"), F.when(F.col("answer").isNotNull(), F.lit(2)).otherwise(F.lit(1)))
-    asked = asked.join(closes, "question_id", "left")
-    live = live.join(closes, "question_id", "left")
-    failed = asked.join(late, "question_id")
-    ended = live.join(late.join(unanswered, "question_id", "left_anti"), "question_id", "left_anti")
-    events = [
-        rows(early, F.lit(0), "error", message=F.col("message")),
-        rows(live, F.lit(0), "citations", data=F.col("citations")),
-        rows(unanswered, F.lit(1), "delta", text=F.col("answer")),
-        rows(spoken, F.col("seq") + 1, "delta", text=F.col("text")),
-        rows(failed, close_at, "error", message=F.concat(F.lit("llm call failed: "), F.col("message"))),
-        rows(ended, close_at, "done"),
-    ]
-    out = events[0]
-    for more in events[1:]:
-        out = out.unionByName(more)
+    first, second = F.lit(0), F.lit(1)
+    model_error = F.concat(F.lit("llm call failed: "), F.col("_late"))
+    close_at = F.coalesce("_close", second)
+    cited = event(first, "citations", data=F.col("citations"))
+    fixed = F.array(cited, event(second, "delta", text=F.col("answer")), event(F.lit(2), "done"))
+    events = (
+        F.when(F.col("_early").isNotNull(), F.array(event(first, "error", message=F.col("_early"))))
+        .when(F.col("answer").isNotNull(), fixed)
+        .when(F.col("_late").isNotNull(), F.array(cited, event(close_at, "error", message=model_error)))
+        .otherwise(F.array(cited, event(close_at, "done")))
+    )
+    framed = rows.select("question_id", F.explode(events).alias("e")).select("question_id", "e.*")
+    said = spoken.select(
+        "question_id", "seq", F.lit("delta").alias("type"), no_data.alias("data"), "text", no_text.alias("message")
+    )
+    out = framed.unionByName(said)
     return out.withColumn("line", event_line(F.col("type"), F.col("data"), F.col("text"), F.col("message")))

@@ -25,6 +25,16 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that is read several times to the shared folder and read it back.
+
+    It survives the loss of executors, and what made it is not computed again.
+    """
+    path = new_run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_bounded(df: DataFrame, limit_bytes: int) -> bool:
     """Measure a narrow table; true when its values fit in ``limit_bytes``."""
     width = F.lit(16)

@@ -1,8 +1,11 @@
 """Keyed stream state: sentences as they complete, results in their order.
 
 Rows of a key may arrive in any order. State holds only what cannot be given
-out yet: numbers after a gap, and the text after the last full sentence. State
-of a silent stream is dropped after a processing-time limit.
+out yet: numbers after a gap, and the text after the last full sentence.
+
+A silent stream's state can be dropped after ``idle_ms`` of processing time.
+Spark then runs batches for ever to look for timeouts, so a query that should
+end by itself (trigger ``availableNow``) passes None.
 """
 
 from __future__ import annotations
@@ -34,7 +37,11 @@ def _in_sequence(batches: Iterator[pd.DataFrame], waiting: dict, next_seq: int,
     yield next_seq, None
 
 
-def stream_ordered_release(results: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_ordered_release(results: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Release payloads strictly by number from 1; failed ones do not block.
 
     ``results``: stream_id, seq, payload, failed.
@@ -52,7 +59,8 @@ def stream_ordered_release(results: DataFrame, idle_ms: int = IDLE_MS) -> DataFr
             if row is not None and not row[1]:
                 out.append((key[0], seq, row[0]))
         state.update((next_seq, json.dumps(waiting, default=_plain), "", 0))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["stream_id", "seq", "payload"])
 
@@ -61,7 +69,7 @@ def stream_ordered_release(results: DataFrame, idle_ms: int = IDLE_MS) -> DataFr
         "stream_id string, seq long, payload string",
         STATE,
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _timeout(idle_ms),
     )
 
 
@@ -69,12 +77,13 @@ def _plain(value):
     return value.item() if hasattr(value, "item") else str(value)
 
 
-def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idle_ms: int = IDLE_MS) -> DataFrame:
+def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Emit sentences while an answer is still being written.
 
     ``events``: stream_id, seq from 0 without gaps, type ('delta' or 'done') and
     text. The rest is emitted on ``done``. Output does not depend on how the
-    text was cut into deltas, so it equals the batch function.
+    text was cut into deltas, so it equals the batch function. A finished stream
+    leaves no state behind.
     """
 
     pattern = re.compile(SENTENCE)
@@ -85,6 +94,7 @@ def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idl
             return
         next_seq, waiting_text, text, emitted = state.get if state.exists else (0, "{}", "", 0)
         waiting = json.loads(waiting_text)
+        ended = False
         out = []
 
         def say(sentence: str) -> None:
@@ -110,9 +120,13 @@ def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idl
                 rest = text.strip(BROWSER_SPACES)
                 if rest:
                     say(rest)
-                text = ""
-        state.update((next_seq, json.dumps(waiting), text, emitted))
-        state.setTimeoutDuration(idle_ms)
+                ended = True
+        if ended:
+            state.remove()
+        else:
+            state.update((next_seq, json.dumps(waiting), text, emitted))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["stream_id", "position", "sentence"])
 
@@ -121,5 +135,5 @@ def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idl
         "stream_id string, position long, sentence string",
         STATE,
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _timeout(idle_ms),
     )

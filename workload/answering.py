@@ -10,7 +10,7 @@ from passagemill.functions.text import word_tokens
 from passagemill.functions.wording import NO_HITS_ANSWER
 from passagemill.operators.ordering import concat_in_order, release_in_order
 from passagemill.plans.answer import answer_events, assemble_answers
-from passagemill.session import new_run_dir
+from passagemill.session import new_run_dir, stored
 from passagemill.sources.events import completion_text, fold_events, read_event_lines, sse_deltas
 from passagemill.streaming.speech import stream_ordered_release, stream_sentences
 
@@ -97,7 +97,7 @@ def streamed_answers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(size % 7 == 0, F.lit("retrieval")).when(size % 7 == 1, F.lit("model")).alias("stage"),
         F.concat(F.lit("code "), size.cast("string")).alias("message"),
     ).filter(F.col("stage").isNotNull())
-    events = answer_events(_answers(spark, sf), deltas, errors)
+    events = answer_events(stored(_answers(spark, sf), "answers"), deltas, errors)
     return events.select(
         "question_id", "seq", "type", "text", "message", F.size("data").alias("n_citations"),
         F.when(F.col("type") != "citations", F.col("line")).alias("line"),
@@ -241,7 +241,7 @@ def arriving(spark: SparkSession, root: str, rows: DataFrame, parts: int = 3) ->
     for part in range(parts):
         share = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) == part)
         share.write.mode("append").parquet(f"{root}/in")
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8)
     return reader.parquet(f"{root}/in")
 
 
@@ -265,7 +265,7 @@ def conversation_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_sentences(spark: SparkSession, sf: str) -> DataFrame:
     root = new_run_dir(spark, "sentences")
-    return drained(stream_sentences(arriving(spark, root, conversation_deltas(spark, sf))), root)
+    return drained(stream_sentences(arriving(spark, root, conversation_deltas(spark, sf)), idle_ms=None), root)
 
 
 def conversation_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +301,7 @@ def released(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_release(spark: SparkSession, sf: str) -> DataFrame:
     root = new_run_dir(spark, "release")
-    return drained(stream_ordered_release(arriving(spark, root, async_results(spark, sf))), root)
+    return drained(stream_ordered_release(arriving(spark, root, async_results(spark, sf)), idle_ms=None), root)
 
 
 RELEASE_SQL = """SELECT CAST(conv_id AS VARCHAR) AS stream_id, turn + 1 AS seq, text AS payload FROM (
