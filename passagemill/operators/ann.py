@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..session import is_bounded, stored
 from .search import SCOPES, QuestionBlock, _best_rows_of, rank_hits, with_defaults
 
 
@@ -65,10 +66,11 @@ def ann_join(
     Only cells that some question probes are read. Question tables must fit the
     broadcast limit; larger ones are passed in parts.
     """
-    from ..session import is_bounded
-
-    asked = with_defaults(questions, cfg).select(
-        F.col("question_id").cast("string"), "q_vec", "pool", "top_k", *SCOPES
+    asked = stored(
+        with_defaults(questions, cfg).select(
+            F.col("question_id").cast("string").alias("question_id"), "q_vec", "pool", "top_k", *SCOPES
+        ),
+        "questions",
     )
     if not is_bounded(asked, cfg.broadcast_bytes):
         raise ValueError("questions exceed the broadcast limit: pass them in parts, or use the exact join")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import empty_to_null
-from ..session import broadcast_if_bounded, is_bounded
+from ..session import broadcast_if_bounded, is_bounded, stored
 
 SCOPES = ("document_id", "collection", "user_id")
 # Scores are ranked at this precision: the last bits of a matrix product depend
@@ -264,8 +264,12 @@ def knn_join(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_sco
     ``min_score`` weaker rows never leave a task; as rank and gate follow the
     same score, this equals gating after the limit.
     """
-    asked = with_defaults(questions, cfg).select(
-        F.col("question_id").cast("string"), "q_vec", "pool", "top_k", *SCOPES
+    # Question vectors often come from a model: compute them once.
+    asked = stored(
+        with_defaults(questions, cfg).select(
+            F.col("question_id").cast("string").alias("question_id"), "q_vec", "pool", "top_k", *SCOPES
+        ),
+        "questions",
     )
     names = ["document_id", "chunk_index", "embedding"]
     names += [n for n in ("collection", "user_id") if n in chunks.columns]

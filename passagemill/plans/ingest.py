@@ -17,6 +17,7 @@ from ..operators.embed import EmbedFn, embed_chunks
 from ..operators.lifecycle import apply_run
 from ..operators.parse import ParseFn, document_markdown, parse_files
 from ..operators.validate import check_uploads
+from ..session import spread
 from ..sources.files import markdown_path, register, scan_files
 from ..sources.tables import Tables
 
@@ -51,7 +52,7 @@ def run_ingest(
 
     parsed = tables.read_run("markdown", run_id)
     chunks = chunk_documents(
-        parsed.filter(F.col("error").isNull()), cfg, "markdown_text", ("document_id", "original_filename")
+        spread(parsed.filter(F.col("error").isNull()), "document_id"), cfg, "markdown_text", ("document_id", "original_filename")
     )
     rows = embed_chunks(chunks, cfg, make_model)
     tables.write(

@@ -35,6 +35,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy row-local work at least one partition per core.
+
+    A table with fewer scan splits than cores is small (a split holds at most
+    ``spark.sql.files.maxPartitionBytes``), often one file read by one task; it
+    is dealt out by its unique keys. A larger table keeps its splits: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def is_bounded(df: DataFrame, limit_bytes: int) -> bool:
     """Measure a narrow table; true when its values fit in ``limit_bytes``."""
     width = F.lit(16)

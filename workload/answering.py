@@ -10,7 +10,7 @@ from passagemill.functions.text import word_tokens
 from passagemill.functions.wording import NO_HITS_ANSWER
 from passagemill.operators.ordering import concat_in_order, release_in_order
 from passagemill.plans.answer import answer_events, assemble_answers
-from passagemill.session import new_run_dir, stored
+from passagemill.session import new_run_dir, spread, stored
 from passagemill.sources.events import completion_text, fold_events, read_event_lines, sse_deltas
 from passagemill.streaming.speech import stream_ordered_release, stream_sentences
 
@@ -72,7 +72,7 @@ COMPLETION_SQL = "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN role || t
 
 def document_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """Every document text as the deltas of an answer, one word each."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("question_id"), F.posexplode(word_tokens(F.col("text"))).alias("seq", "text")
     )
 
@@ -213,7 +213,7 @@ FROM ev GROUP BY conv_id"""
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Spoken sentences of every document text read as an answer."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.posexplode(spoken_sentences(F.col("text"))).alias("position", "sentence")
     )
 

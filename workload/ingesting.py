@@ -18,7 +18,7 @@ from passagemill.operators.ordering import carry_forward
 from passagemill.operators.parse import assemble_pages, document_markdown, html_to_markdown, parse_files
 from passagemill.operators.validate import check_questions, check_uploads
 from passagemill.plans.ingest import run_ingest
-from passagemill.session import new_run_dir
+from passagemill.session import new_run_dir, spread
 from passagemill.sources.events import embedding_rows
 from passagemill.sources.files import register, scan_files, store_path
 from passagemill.sources.tables import Tables
@@ -110,7 +110,7 @@ FROM documents"""
 
 
 def web_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages"), "page_id").select(
         F.col("page_id").cast("string").alias("document_id"),
         F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("original_filename"),
         html_to_markdown(F.col("html")).alias("markdown"),
@@ -156,7 +156,7 @@ def paragraph_parser():
 
 
 def page_files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages"), "page_id").select(
         F.col("page_id").cast("string").alias("document_id"), F.encode("html", "UTF-8").alias("content")
     )
 
@@ -211,7 +211,7 @@ PAGE_MARKERS_SQL = with_ctes(
 
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     tokens = txt.word_tokens(txt.strip(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.size(tokens).alias("token_count"))
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.size(tokens).alias("token_count"))
 
 
 TOKEN_COUNTS_SQL = f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{WS}]+')) AS INTEGER) AS token_count

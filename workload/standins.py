@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from passagemill.config import EngineConfig
 from passagemill.operators.parse import assemble_pages
+from passagemill.session import spread
 
 # 128 slots keep the hashed model's vectors small enough for the SQL twin.
 CFG = EngineConfig(embedding_dim=128)
@@ -103,7 +104,7 @@ def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("original_filename"),
         F.col("text").alias("markdown"),
