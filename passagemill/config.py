@@ -29,8 +29,8 @@ class EngineConfig:
 
     # A table is broadcast only when its measured size is at most this.
     broadcast_bytes: int = 64 * 1024 * 1024
-    # Rows per chunk block when questions are too many to broadcast.
-    chunk_block_rows: int = 200_000
+    # Vector bytes per chunk block when questions are too many to broadcast.
+    chunk_block_bytes: int = 256 * 1024 * 1024
 
     def __post_init__(self) -> None:
         if self.chunk_size < 1:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as txt
+from ..session import stored
+from .ordering import carry_forward, running_total
 
 
 def section_rows(docs: DataFrame, key: str = "document_id", markdown: str = "markdown") -> DataFrame:
@@ -56,40 +60,32 @@ def chunk_documents(
 
 
 def chunk_documents_encoded(
-    docs: DataFrame, windows, markdown: str = "markdown", keep: tuple[str, ...] = ("document_id",)
+    docs: DataFrame, windows: Callable[[Column], Column], key: str = "document_id", markdown: str = "markdown"
 ) -> DataFrame:
     """The same chunks with a user encoder's windows (``text.encoder_windows``).
 
-    Sections become rows for the vectorised encoder. Chunk numbers and carried
-    pages come from per-section summaries, so no document text is shuffled
-    twice and no document meets in one task.
+    Sections become rows for the vectorised encoder, and the encoded windows are
+    stored once. Chunk numbers and carried pages come from one narrow row per
+    section, so a long document is spread over all tasks.
     """
-    from .ordering import carry_forward, number_in_order
-
-    # (section, window) is a unique order inside a document as long as a
-    # section has fewer than 2**31 windows.
-    sections = section_rows(docs.select(*keep, markdown), keep[0], markdown)
-    pages = carry_forward(
-        sections.select(keep[0], "section_no", "marked_page"), [keep[0]], "section_no", "marked_page", "carried"
-    ).select(keep[0], "section_no", "carried")
-    cut = sections.select(
-        keep[0], "section_no", "heading", F.posexplode(windows(F.col("body"))).alias("window_no", "w")
-    ).select(
-        keep[0],
-        "section_no",
+    sections = section_rows(docs, key, markdown)
+    cut = stored(
+        sections.select(
+            key, "section_no", "heading", "marked_page", F.posexplode(windows(F.col("body"))).alias("window_no", "w")
+        ),
+        "windows",
+    )
+    sized = cut.groupBy(key, "section_no").agg(
+        F.count(F.lit(1)).alias("_windows"), F.first("marked_page").alias("marked_page")
+    )
+    placed = running_total(sized, [key], "section_no", "_windows", "_first")
+    placed = carry_forward(placed, [key], "section_no", "marked_page", "_carried")
+    rows = cut.drop("marked_page").join(placed.select(key, "section_no", "_first", "_carried"), [key, "section_no"])
+    return rows.select(
+        key,
+        (F.col("_first") + F.col("window_no")).cast("int").alias("chunk_index"),
+        F.coalesce(txt.last_page(F.col("w.content")), F.col("_carried")).alias("page_number"),
         "heading",
-        "window_no",
         F.col("w.content").alias("content"),
         F.col("w.token_count").alias("token_count"),
-        (F.col("section_no").cast("bigint") * F.lit(2**31) + F.col("window_no")).alias("_order"),
-    )
-    placed = number_in_order(cut, [keep[0]], "_order", "_position", span=2**31)
-    joined = placed.join(pages, [keep[0], "section_no"])
-    return joined.select(
-        keep[0],
-        (F.col("_position") - 1).alias("chunk_index"),
-        F.coalesce(txt.last_page(F.col("content")), F.col("carried")).alias("page_number"),
-        "heading",
-        "content",
-        "token_count",
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.wording import shorten_error
+from ..session import broadcast_if_bounded
 
 TERMINAL = ["completed", "failed"]
 
@@ -59,16 +60,20 @@ def job_log(entries: DataFrame) -> DataFrame:
     )
 
 
+def active_runs(documents: DataFrame) -> DataFrame:
+    """(document_id, run_id) of completed documents."""
+    return documents.filter(F.col("status") == "completed").select(
+        "document_id", F.col("active_run_id").alias("run_id")
+    )
+
+
 def visible_runs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks of the active run of completed documents.
 
     A replaced or half-written run has other run ids and is never seen; a failed
     document keeps its old chunks but hides them by its status.
     """
-    active = documents.filter(F.col("status") == "completed").select(
-        "document_id", F.col("active_run_id").alias("run_id")
-    )
-    return chunks.join(active, ["document_id", "run_id"])
+    return chunks.join(active_runs(documents), ["document_id", "run_id"])
 
 
 def stale_runs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -106,9 +111,13 @@ def reprocess_candidates(documents: DataFrame, ids: DataFrame | None = None) ->
     return rows.withColumn("status", F.lit("processing")).withColumn("error_message", F.lit(None).cast("string"))
 
 
-def delete_cascade(deleted: DataFrame, *tables: DataFrame) -> list[DataFrame]:
-    """The given tables without rows of the deleted documents."""
-    gone = deleted.select("document_id").distinct()
+def delete_cascade(deleted: DataFrame, cfg: EngineConfig, *tables: DataFrame) -> list[DataFrame]:
+    """The given tables without rows of the deleted documents.
+
+    Deleted ids are broadcast when they measure small, so that big tables are
+    filtered where they lie.
+    """
+    gone = broadcast_if_bounded(deleted.select("document_id").distinct(), cfg.broadcast_bytes)
     return [t.join(gone, "document_id", "left_anti") for t in tables]
 
 
@@ -120,16 +129,3 @@ def purge_paths(deleted: DataFrame, documents: DataFrame, cfg: EngineConfig) ->
     paths = F.explode(F.array_compact(F.array(original, markdown)))
     return rows.select("document_id", paths.alias("path"))
 
-
-def ingest_outcome(docs: DataFrame, chunk_count: str = "chunk_count") -> DataFrame:
-    """(document_id, status, error): a parse error, an empty text or no chunks fail one document."""
-    from ..functions.text import is_blank
-
-    error = (
-        F.when(F.col("error").isNotNull(), shorten_error(F.col("error")))
-        .when(is_blank(F.col("markdown")), F.lit("parser returned empty markdown"))
-        .when(F.col(chunk_count) == 0, F.lit("chunker produced no chunks"))
-    )
-    return docs.select("document_id", error.alias("error")).withColumn(
-        "status", F.when(F.col("error").isNull(), F.lit("completed")).otherwise(F.lit("failed"))
-    )

@@ -41,31 +41,22 @@ def concat_in_order(
     )
 
 
-def number_in_order(
-    df: DataFrame, keys: Sequence[str], order: str, position: str, total: str | None = None, span: int = SPAN
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = SPAN
 ) -> DataFrame:
-    """Add the 1-based position of each row inside its key (and the key's size).
+    """The sum of ``value`` over the rows before each row, in order, per key.
 
-    ``order`` is unique inside a key. Ranks are taken inside each run; the rows
-    before a run come from a running sum over run counts.
+    Sums are taken inside each run; what comes before a run is a running sum
+    over one row per run.
     """
     keys = list(keys)
     marked = df.withColumn("_run", _run_no(order, span))
-    counts = marked.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys,
-        "_run",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(by_key).alias("_total"),
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
-    ranked = marked.withColumn("_rank", inside).join(offsets, [*keys, "_run"])
-    out = ranked.withColumn(position, (F.col("_before") + F.col("_rank")).cast("int"))
-    if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_run", "_rank", "_before", "_total")
+    sums = marked.groupBy(*keys, "_run").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = marked.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, [*keys, "_run"])
+    return ranked.withColumn(out, F.col("_before") + F.col("_in")).drop("_run", "_in", "_before")
 
 
 def carry_forward(

@@ -54,19 +54,24 @@ def list_filter(documents: DataFrame, collection: str | None = None, user_id: st
 def visible_chunks(chunks: DataFrame, documents: DataFrame, cfg: EngineConfig, columns: Iterable[str]) -> DataFrame:
     """Chunks of completed documents with the documents' scope columns.
 
-    The registry is cut to the columns the search needs and broadcast only when
-    it measures small; else both sides meet by document, and adaptive execution
-    splits a document that holds many chunks. A run-versioned chunk table only
-    shows the document's active run.
+    Chunk rows are wide, so they are moved only if nothing else is left:
+
+    1. a registry that measures small, cut to the columns the search needs, is
+       broadcast;
+    2. chunks that carry their scope need no registry columns: if the documents
+       that are not completed measure small, those are broadcast to be removed;
+    3. else both sides meet by document, and adaptive execution splits a document
+       that holds many chunks.
     """
-    scope = documents.filter(F.col("status") == "completed")
-    keys = ["document_id"]
-    if "run_id" in chunks.columns:
-        scope = scope.withColumn("run_id", F.col("active_run_id"))
-        keys.append("run_id")
-    scope = scope.select(*keys, "collection", "user_id")
-    found = chunks.join(broadcast_if_bounded(scope, cfg.broadcast_bytes), keys)
-    return found.select("document_id", "chunk_index", "collection", "user_id", *columns)
+    wanted = ["document_id", "chunk_index", "collection", "user_id", *columns]
+    scope = documents.filter(F.col("status") == "completed").select("document_id", "collection", "user_id")
+    if is_bounded(scope, cfg.broadcast_bytes):
+        return chunks.drop("collection", "user_id").join(F.broadcast(scope), "document_id").select(*wanted)
+    if {"collection", "user_id"} <= set(chunks.columns):
+        hidden = documents.filter(F.col("status") != "completed").select("document_id")
+        if is_bounded(hidden, cfg.broadcast_bytes):
+            return chunks.join(F.broadcast(hidden), "document_id", "left_anti").select(*wanted)
+    return chunks.drop("collection", "user_id").join(scope, "document_id").select(*wanted)
 
 
 def with_defaults(questions: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -219,10 +224,10 @@ def _best_rows_by_blocks(chunks: DataFrame, questions: DataFrame, cfg: EngineCon
     whatever the data. A task holds one block of each side and returns the best
     rows per question.
     """
-    width = questions.agg(F.max(F.size("q_vec")).alias("w")).first()["w"]
-    per_block = max(1, cfg.broadcast_bytes // (8 * max(width or 1, 1)))
-    q_blocks = -(-questions.count() // per_block)
-    c_blocks = max(1, -(-chunks.count() // cfg.chunk_block_rows))
+    asked = questions.agg(F.max(F.size("q_vec")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    width = max(asked["width"] or 1, 1)
+    q_blocks = -(-asked["n"] // max(1, cfg.broadcast_bytes // (8 * width)))
+    c_blocks = max(1, -(-chunks.count() // max(1, cfg.chunk_block_bytes // (4 * width))))
     q_side = questions.withColumn("_q", F.pmod(F.xxhash64("question_id"), F.lit(q_blocks))).withColumn(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>"))
     )

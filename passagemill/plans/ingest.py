@@ -21,6 +21,8 @@ from ..session import spread
 from ..sources.files import markdown_path, register, scan_files
 from ..sources.tables import Tables
 
+# Registry columns that never change and travel with the chunks.
+CARRIED = ("document_id", "original_filename", "collection", "user_id")
 NO_TEXT = "parser returned empty markdown"
 NO_CHUNKS = "chunker produced no chunks"
 
@@ -42,7 +44,7 @@ def run_ingest(
     recorded on its document.
     """
     started = F.lit(run_ts).cast("timestamp")
-    texts = registered.select("document_id", "original_filename").join(markdown, "document_id")
+    texts = registered.select(*CARRIED).join(markdown, "document_id")
     error = F.when(F.col("error").isNotNull(), shorten_error(F.col("error"))).when(
         is_blank(F.col("markdown")), F.lit(NO_TEXT)
     )
@@ -52,7 +54,7 @@ def run_ingest(
 
     parsed = tables.read_run("markdown", run_id)
     chunks = chunk_documents(
-        spread(parsed.filter(F.col("error").isNull()), "document_id"), cfg, "markdown_text", ("document_id", "original_filename")
+        spread(parsed.filter(F.col("error").isNull()), "document_id"), cfg, "markdown_text", CARRIED
     )
     rows = embed_chunks(chunks, cfg, make_model)
     tables.write(

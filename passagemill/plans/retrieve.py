@@ -24,6 +24,7 @@ def gated_pool(questions: DataFrame, chunks: DataFrame, documents: DataFrame, cf
 
     Only ids, scopes and vectors take part in the search. Content is read in a
     second narrow scan for the pooled rows, and the registry gives file names.
+    ``chunks`` holds one run per document (``Tables.visible_chunks``).
     When questions x pool is small, the pooled rows are broadcast to both scans
     and neither table is shuffled.
     """
@@ -31,15 +32,9 @@ def gated_pool(questions: DataFrame, chunks: DataFrame, documents: DataFrame, cf
     hits = score_gate(knn_join(scoped, questions, cfg, min_score=cfg.min_score), cfg)
     few = questions.count() * max(TOP_K_MAX, cfg.pool_size) * HIT_BYTES <= cfg.broadcast_bytes
     small = F.broadcast if few else (lambda df: df)
-    keys = ["document_id", "chunk_index"]
-    names = documents.filter(F.col("status") == "completed").select("document_id", "original_filename")
-    if "run_id" in chunks.columns:
-        keys.append("run_id")
-        names = documents.filter(F.col("status") == "completed").select(
-            "document_id", "original_filename", F.col("active_run_id").alias("run_id")
-        )
+    names = documents.select("document_id", "original_filename")
     named = names.join(small(hits), "document_id")
-    rows = chunks.select(*keys, *DETAILS).join(small(named), keys)
+    rows = chunks.select("document_id", "chunk_index", *DETAILS).join(small(named), ["document_id", "chunk_index"])
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "question")
     return rows.join(broadcast_if_bounded(asked, cfg.broadcast_bytes), "question_id")
 

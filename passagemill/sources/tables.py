@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import EngineConfig
+from ..operators.lifecycle import active_runs, visible_runs
 from ..schemas import CHUNKS, DOCUMENTS, JOB_LOG, MARKDOWN
+from ..session import broadcast_if_bounded, is_bounded
 
 SCHEMAS = {"documents": DOCUMENTS, "markdown": MARKDOWN, "chunks": CHUNKS, "jobs": JOB_LOG}
 
@@ -48,7 +51,19 @@ class Tables:
         rows = self.read("documents").groupBy("document_id").agg(newest)
         return rows.select("document_id", *[f"d.{name}" for name in fields])
 
-    def visible_chunks(self) -> DataFrame:
-        from ..operators.lifecycle import visible_runs
+    def visible_chunks(self, cfg: EngineConfig) -> DataFrame:
+        """Chunks of the active run of completed documents, in the plain chunk columns.
 
-        return visible_runs(self.read("chunks"), self.documents())
+        Hidden (document, run) pairs are the replaced and the failed ones, usually
+        few: they are broadcast and removed without moving chunks. Only runs that
+        reached the registry count, so a run that died half-way is not seen.
+        """
+        log = self.read("documents").select("document_id", "run_id")
+        runs = log.select("run_id").distinct()
+        active = active_runs(self.documents())
+        hidden = log.join(active, ["document_id", "run_id"], "left_anti")
+        chunks = self.read("chunks")
+        if is_bounded(hidden, cfg.broadcast_bytes):
+            known = chunks.join(broadcast_if_bounded(runs, cfg.broadcast_bytes), "run_id", "left_semi")
+            return known.join(F.broadcast(hidden), ["document_id", "run_id"], "left_anti")
+        return visible_runs(chunks, self.documents())

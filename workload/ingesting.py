@@ -328,7 +328,7 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(tables: Tables) -> DataFrame:
-    chunks = tables.visible_chunks().groupBy("document_id").agg(
+    chunks = tables.visible_chunks(CFG).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum("token_count").alias("tokens"),
         F.count_if(F.size("embedding") == CFG.embedding_dim).alias("n_vectors"),
@@ -444,7 +444,7 @@ def replaced_chunks(spark: SparkSession, sf: str) -> DataFrame:
     again = tables.documents().filter(F.col("user_id").isin("fr", "de"))
     texts = _parsed(spark, sf).join(again.select("document_id"), "document_id", "left_semi")
     run_ingest(tables, again, texts, SMALL, "r2", RUN_TS.replace(day=2))
-    rows = tables.visible_chunks().groupBy("document_id", "run_id").agg(
+    rows = tables.visible_chunks(CFG).groupBy("document_id", "run_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens")
     )
     return rows

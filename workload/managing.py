@@ -273,7 +273,7 @@ def cascaded(spark: SparkSession, sf: str) -> DataFrame:
     chunks = text_chunk_keys(spark, sf).select("document_id")
     job_rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("document_id"))
     names = ("documents", "chunks", "jobs")
-    kept = life.delete_cascade(toxic_documents(spark, sf), docs, chunks, job_rows)
+    kept = life.delete_cascade(toxic_documents(spark, sf), CFG, docs, chunks, job_rows)
     out = None
     for name, rows in zip(names, kept):
         counts = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("kept")).withColumn("table_name", F.lit(name))

@@ -114,7 +114,7 @@ FROM pool WHERE round(s, 9) >= 0.25""",
 
 def neighbours_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The same join when questions do not fit the broadcast limit."""
-    tight = EngineConfig(embedding_dim=CFG.embedding_dim, broadcast_bytes=64 * 8 * 100, chunk_block_rows=200)
+    tight = EngineConfig(embedding_dim=CFG.embedding_dim, broadcast_bytes=64 * 8 * 100, chunk_block_bytes=64 * 4 * 200)
     rows = _vector_pool(spark, sf, tight)
     return rows.select("question_id", "document_id", "chunk_index", "ann_rank", "score")
 
