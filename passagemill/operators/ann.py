@@ -36,8 +36,16 @@ class CellIndex:
         return mask
 
 
-def train_cells(chunks: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 10) -> CellIndex:
-    """Spherical k-means over all chunk vectors."""
+def train_cells(
+    chunks: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 10, fraction: float = 1.0
+) -> CellIndex:
+    """Spherical k-means over chunk vectors.
+
+    ``fraction`` below 1 trains the centroids on a share of the rows; every row
+    is still assigned to a cell and searched.
+    """
+    if fraction < 1.0:
+        chunks = chunks.sample(fraction, seed)
     has_length = F.exists("embedding", lambda x: x != 0)
     usable = chunks.filter(F.col("embedding").isNotNull() & has_length)
     features = usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))

@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions.wording import present
 from ..schemas import DOC_STATUSES
+from ..session import broadcast_if_bounded
 from .search import list_filter
 from .validate import LIST_DEFAULT, check_list_limit
 
@@ -56,9 +58,9 @@ def list_documents(
     return chunk_counts(page, listed).orderBy(F.col("created_at").desc(), "document_id")
 
 
-def get_documents(ids: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+def get_documents(ids: DataFrame, documents: DataFrame, chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Point lookups for a table of ids; ``found`` is false for an unknown id."""
-    asked = ids.select("document_id").distinct()
+    asked = broadcast_if_bounded(ids.select("document_id").distinct(), cfg.broadcast_bytes)
     wanted = chunks.select("document_id").join(asked, "document_id", "left_semi")
     known = documents.select(*SHOWN).withColumn("found", F.lit(True))
     return chunk_counts(asked.join(known, "document_id", "left"), wanted).withColumn(

@@ -27,6 +27,8 @@ SCOPES = ("document_id", "collection", "user_id")
 # on how rows were batched, and ties must fall the same way on every run.
 SCORE_DIGITS = 9
 
+TASKS_PER_CORE = 4
+
 HIT_FIELDS = "question_id string, document_id string, chunk_index int, score double"
 
 
@@ -204,7 +206,13 @@ class BestRows:
 
 
 def _best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFrame:
-    """Scan chunks once; every task returns its best rows per question."""
+    """Scan chunks once; every task returns its best rows per question.
+
+    Scan splits are grouped into a few long tasks per core (no shuffle): the rows
+    that leave the scan are tasks x questions x pool, and a longer task also
+    raises its own floor sooner.
+    """
+    tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestRows(block.value, min_score)
@@ -214,7 +222,7 @@ def _best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFram
         if len(found):
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    return chunks.mapInArrow(scan, HIT_FIELDS)
+    return chunks.coalesce(tasks).mapInArrow(scan, HIT_FIELDS)
 
 
 def _best_rows_by_blocks(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_score: float | None) -> DataFrame:

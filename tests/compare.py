@@ -40,15 +40,8 @@ def rows_of(table) -> list[tuple]:
     return sorted((tuple(plain(v) for v in row) for row in zip(*columns)), key=repr)
 
 
-KINDS = {
-    "int8": "int", "int16": "int", "int32": "int", "int64": "int",
-    "uint8": "int", "uint16": "int", "uint32": "int", "uint64": "int",
-    "string": "string", "large_string": "string", "float": "float", "double": "float",
-}
-
-
 def kinds(table) -> dict[str, str]:
-    return {f.name: KINDS.get(str(f.type), str(f.type)) for f in table.schema}
+    return {f.name: str(f.type).removeprefix("large_") for f in table.schema}
 
 
 def check(spark, con, sf: str, name: str, run, sql: str | None) -> dict:
@@ -58,7 +51,7 @@ def check(spark, con, sf: str, name: str, run, sql: str | None) -> dict:
     if sql is None:
         return out
     started = time.time()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     out["sql_sec"] = round(time.time() - started, 2)
     if sorted(got.column_names) != sorted(want.column_names):
         return out | {"ok": False, "why": f"columns {sorted(got.column_names)} != {sorted(want.column_names)}"}

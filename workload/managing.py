@@ -68,7 +68,7 @@ FROM registry r WHERE user_id = 'en' ORDER BY created_s DESC, document_id LIMIT
 
 def looked_up(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("document_id"))
-    return shown(reg.get_documents(ids, st.registry(spark, sf), text_chunk_keys(spark, sf)))
+    return shown(reg.get_documents(ids, st.registry(spark, sf), text_chunk_keys(spark, sf), CFG))
 
 
 GET_SQL = with_ctes(

@@ -17,6 +17,7 @@ from passagemill.operators.embed import embed_chunks, embed_questions
 from passagemill.operators.registry import chunk_document_join
 from passagemill.operators.search import knn_join, knn_topk, scope_filter, score_gate, visible_chunks
 from passagemill.plans.retrieve import answer_inputs, gated_pool, retrieve
+from passagemill.session import stored
 
 from . import standins as st
 from .ingesting import CONV_CHUNKS, DOC_CHUNKS
@@ -155,8 +156,9 @@ FROM embeddings e JOIN registry r ON r.document_id = CAST(e.vec_id AS VARCHAR)""
 
 
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents cut and embedded into a stored chunk table, as an ingest leaves it."""
     rows = chunk_documents(st.document_texts(spark, sf), TEXT_CFG, keep=("document_id", "original_filename"))
-    return embed_chunks(rows, TEXT_CFG).drop("original_filename", "embed_error")
+    return stored(embed_chunks(rows, TEXT_CFG).drop("original_filename", "embed_error"), "chunks")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
