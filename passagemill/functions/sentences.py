@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,18 @@ MIN_SENTENCE_CHARS = 20
 SENTENCE_ONCE = rf"(?:\G|(?<=[.!?\n]))([^.!?\n]++[.!?])([{BROWSER_SPACE}]++)"
 
 
+_FIRST = re.compile(SENTENCE)
+_BEHIND = re.compile(rf"(?<=[.!?\n]){SENTENCE}")
+
+
+def sentence_matches(text: str) -> Iterator[re.Match]:
+    """The matches one text at a time, in linear time like the column form."""
+    at = 0
+    while match := _FIRST.match(text, at) or _BEHIND.search(text, at):
+        yield match
+        at = match.end()
+
+
 def browser_trim(text: Column) -> Column:
     return F.trim(text, F.lit(BROWSER_SPACES))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..session import is_bounded, stored
-from .search import SCOPES, QuestionBlock, _best_rows_of, rank_hits, with_defaults
+from .search import SCOPES, QuestionBlock, best_rows_by_blocks, best_rows_of, rank_hits, with_defaults
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,8 @@ def ann_join(
 ) -> DataFrame:
     """Like the exact join, but each question scores only its ``probes`` nearest cells.
 
-    Only cells that some question probes are read. Question tables must fit the
-    broadcast limit; larger ones are passed in parts.
+    Only cells that some question probes are read. Questions beyond the
+    broadcast limit meet the chunks of their cells block by block.
     """
     asked = stored(
         with_defaults(questions, cfg).select(
@@ -80,19 +80,29 @@ def ann_join(
         ),
         "questions",
     )
+    names = ["document_id", "chunk_index", "embedding", "cell"]
+    names += [n for n in ("collection", "user_id") if n in celled.columns]
+    narrow = celled.select(*names).withColumn("chunk_index", F.col("chunk_index").cast("int"))
+    for name in ("collection", "user_id"):
+        if name not in names:
+            narrow = narrow.withColumn(name, F.lit(None).cast("string"))
+
     if not is_bounded(asked, cfg.broadcast_bytes):
-        raise ValueError("questions exceed the broadcast limit: pass them in parts, or use the exact join")
+
+        @F.pandas_udf("array<int>")
+        def cells_of(vectors: pd.Series) -> pd.Series:
+            matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+            return pd.Series([np.flatnonzero(row).astype(np.int32) for row in index.nearest(matrix, probes)])
+
+        probing = asked.withColumn("cell", F.explode(cells_of("q_vec")))
+        return rank_hits(best_rows_by_blocks(narrow, probing, cfg, None), asked, cfg)
+
     rows = asked.toPandas()
-    vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]])
-    mask = index.nearest(vectors, probes)
+    mask = index.nearest(np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]]), probes)
     rows["cells"] = list(mask)
     probed = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
-    names = ["document_id", "chunk_index", "embedding", "cell"]
-    names += [n for n in ("collection", "user_id") if n in celled.columns]
-    narrow = celled.filter(F.col("cell").isin(probed)).select(*names)
-    narrow = narrow.withColumn("chunk_index", F.col("chunk_index").cast("int"))
     block = celled.sparkSession.sparkContext.broadcast(QuestionBlock.of(rows))
-    return rank_hits(_best_rows_of(narrow, block, None), asked, cfg)
+    return rank_hits(best_rows_of(narrow.filter(F.col("cell").isin(probed)), block, None), asked, cfg)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> float:

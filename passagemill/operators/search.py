@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -205,7 +205,7 @@ class BestRows:
         )
 
 
-def _best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFrame:
+def best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFrame:
     """Scan chunks once; every task returns its best rows per question.
 
     Scan splits are grouped into a few long tasks per core (no shuffle): the rows
@@ -225,22 +225,36 @@ def _best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFram
     return chunks.coalesce(tasks).mapInArrow(scan, HIT_FIELDS)
 
 
-def _best_rows_by_blocks(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_score: float | None) -> DataFrame:
+def best_rows_by_blocks(chunks: DataFrame, probes: DataFrame, cfg: EngineConfig, min_score: float | None) -> DataFrame:
     """Search for any number of questions: blocks of chunks against blocks of questions.
 
-    Rows go to blocks by a hash of their unique keys, so blocks are even
-    whatever the data. A task holds one block of each side and returns the best
+    ``chunks`` and ``probes`` meet by ``cell`` (the exact join has one). A cell is
+    cut into as many blocks of both sides as its counts ask for, and rows are
+    dealt to blocks by a hash of their unique keys, so blocks are even however
+    crowded a cell is. A task holds one block of each side and returns the best
     rows per question.
     """
-    asked = questions.agg(F.max(F.size("q_vec")).alias("width"), F.count(F.lit(1)).alias("n")).first()
-    width = max(asked["width"] or 1, 1)
-    q_blocks = -(-asked["n"] // max(1, cfg.broadcast_bytes // (8 * width)))
-    c_blocks = max(1, -(-chunks.count() // max(1, cfg.chunk_block_bytes // (4 * width))))
-    q_side = questions.withColumn("_q", F.pmod(F.xxhash64("question_id"), F.lit(q_blocks))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<bigint>"))
+    width = max(probes.agg(F.max(F.size("q_vec")).alias("w")).first()["w"] or 1, 1)
+    per_q = max(1, cfg.broadcast_bytes // (8 * width))
+    per_c = max(1, cfg.chunk_block_bytes // (4 * width))
+    q_counts = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_q)).alias("_qs"))
+    c_counts = chunks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_c)).alias("_cs"))
+    counts = stored(q_counts.join(c_counts, "cell"), "grid")
+    q_grid = broadcast_if_bounded(counts, cfg.broadcast_bytes)
+    c_grid = broadcast_if_bounded(counts.toDF("cell", "_qn", "_cn"), cfg.broadcast_bytes)
+
+    def all_blocks(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+    q_side = (
+        probes.join(q_grid, "cell")
+        .withColumn("_q", F.pmod(F.xxhash64("question_id"), F.col("_qs")))
+        .withColumn("_c", all_blocks("_cs"))
     )
-    c_side = chunks.withColumn("_c", F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(c_blocks))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))
+    c_side = (
+        chunks.join(c_grid, "cell")
+        .withColumn("_c", F.pmod(F.xxhash64("document_id", "chunk_index"), F.col("_cn")))
+        .withColumn("_q", all_blocks("_qn"))
     )
 
     def search(q_rows: pa.Table, c_rows: pa.Table) -> pa.Table:
@@ -254,7 +268,8 @@ def _best_rows_by_blocks(chunks: DataFrame, questions: DataFrame, cfg: EngineCon
             best.add(batch)
         return pa.Table.from_pandas(best.rows(), schema=schema, preserve_index=False)
 
-    return q_side.groupBy("_q", "_c").cogroup(c_side.groupBy("_q", "_c")).applyInArrow(search, HIT_FIELDS)
+    block = ["cell", "_q", "_c"]
+    return q_side.groupBy(*block).cogroup(c_side.groupBy(*block)).applyInArrow(search, HIT_FIELDS)
 
 
 def rank_hits(hits: DataFrame, questions: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -292,9 +307,10 @@ def knn_join(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_sco
             narrow = narrow.withColumn(name, F.lit(None).cast("string"))
     if is_bounded(asked, cfg.broadcast_bytes):
         block = chunks.sparkSession.sparkContext.broadcast(QuestionBlock.of(asked.toPandas()))
-        hits = _best_rows_of(narrow, block, min_score)
+        hits = best_rows_of(narrow, block, min_score)
     else:
-        hits = _best_rows_by_blocks(narrow, asked, cfg, min_score)
+        one = F.lit(0).alias("cell")
+        hits = best_rows_by_blocks(narrow.select("*", one), asked.select("*", one), cfg, min_score)
     return rank_hits(hits, asked, cfg)
 
 
@@ -310,7 +326,7 @@ def knn_topk(chunks: DataFrame, vector: list[float], k: int, cfg: EngineConfig)
     )
     narrow = chunks.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
     block = spark.sparkContext.broadcast(QuestionBlock.of(one.toPandas()))
-    best = _best_rows_of(narrow, block, None)
+    best = best_rows_of(narrow, block, None)
     return best.drop("question_id").orderBy(F.col("score").desc(), "document_id", "chunk_index").limit(k)
 
 

@@ -11,14 +11,13 @@ end by itself (trigger ``availableNow``) passes None.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.sentences import BROWSER_SPACES, MIN_SENTENCE_CHARS, SENTENCE
+from ..functions.sentences import BROWSER_SPACES, MIN_SENTENCE_CHARS, sentence_matches
 
 STATE = "next_seq long, waiting string, text string, emitted long"
 IDLE_MS = 60 * 60 * 1000
@@ -86,8 +85,6 @@ def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idl
     leaves no state behind.
     """
 
-    pattern = re.compile(SENTENCE)
-
     def speak(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -110,7 +107,7 @@ def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idl
             if kind == "delta":
                 text += delta or ""
                 cut = 0
-                for match in pattern.finditer(text):
+                for match in sentence_matches(text):
                     sentence = match.group(1).strip(BROWSER_SPACES)
                     if len(sentence.encode("utf-16-le")) // 2 >= min_chars:
                         say(sentence)

@@ -218,4 +218,7 @@ def test_ann_recall_and_subset(spark):
     celled = assign_cells(chunks, index)
     exact = knn_join(chunks, questions, cfg)
     assert recall(ann_join(celled, questions, index, cfg, probes=16), exact) == 1.0
-    assert recall(ann_join(celled, questions, index, cfg, probes=8), exact) > 0.85
+    some = ann_join(celled, questions, index, cfg, probes=8)
+    assert recall(some, exact) > 0.85
+    tight = EngineConfig(pool_size=6, top_k=6, broadcast_bytes=64 * 8 * 30, chunk_block_bytes=64 * 4 * 20)
+    assert found(ann_join(celled, questions, index, tight, probes=8)) == found(some)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemill.config import EngineConfig
 from passagemill.functions import wording
-from passagemill.functions.vectors import cosine, norm
+from passagemill.functions.vectors import cosine, micro_text, norm, parse_vector, vector_text
 from passagemill.operators.ann import ann_join, assign_cells, train_cells
 from passagemill.operators.chunk import chunk_documents
 from passagemill.operators.cite import with_sources
@@ -47,6 +47,19 @@ COSINE_SQL = f"""SELECT CAST(vec_id AS VARCHAR) AS document_id,
 FROM embeddings"""
 
 
+def vector_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as text and read back."""
+    text = vector_text(F.col("embedding"))
+    return st.vector_chunks(spark, sf).select(
+        "document_id", text.startswith("[").alias("is_list"), micro_text(parse_vector(text)).alias("vector")
+    )
+
+
+VECTOR_TEXT_SQL = """SELECT CAST(vec_id AS VARCHAR) AS document_id, true AS is_list,
+  array_to_string([CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR) FOR x IN embedding], ',') AS vector
+FROM embeddings"""
+
+
 def nearest_to_request(spark: SparkSession, sf: str) -> DataFrame:
     chunks = visible_chunks(st.vector_chunks(spark, sf), st.registry(spark, sf), CFG, ["embedding"])
     return knn_topk(chunks, REQUEST_VECTOR, CFG.pool_size, CFG)
@@ -343,6 +356,7 @@ FROM questions q LEFT JOIN final f USING (question_id) GROUP BY q.question_id"""
 
 QUERIES = {
     "cosine_scores": cosine_scores,
+    "vector_text": vector_texts,
     "knn_topk": nearest_to_request,
     "knn_join": nearest_neighbours,
     "knn_join_blocks": neighbours_in_blocks,
@@ -363,6 +377,7 @@ QUERIES = {
 
 ORACLE = {
     "cosine_scores": COSINE_SQL,
+    "vector_text": VECTOR_TEXT_SQL,
     "knn_topk": KNN_TOPK_SQL,
     "knn_join": KNN_JOIN_SQL,
     "knn_join_blocks": KNN_JOIN_SQL,
