@@ -101,7 +101,7 @@ def ann_join(
     mask = index.nearest(np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]]), probes)
     rows["cells"] = list(mask)
     probed = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
-    block = celled.sparkSession.sparkContext.broadcast(QuestionBlock.of(rows))
+    block = celled.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(rows)))
     return rank_hits(best_rows_of(narrow.filter(F.col("cell").isin(probed)), block, None), asked, cfg)
 
 

@@ -38,19 +38,23 @@ def parse_files(files: DataFrame, make_parser: Callable[[], ParseFn]) -> DataFra
     return files.select("document_id", "content").mapInPandas(pages_of, PARSED_PAGE)
 
 
-def assemble_pages(
-    pages: DataFrame, key: str = "document_id", order: str = "page_no", text: str = "text"
+def document_markdown(
+    pages: DataFrame, key: str = "document_id", order: str = "page_no", text: str = "text", error: str | None = "error"
 ) -> DataFrame:
-    """One Markdown text per document from its page rows.
+    """(key, markdown, error) of every document from its page rows, in one pass.
 
     A single page is kept as it is. With several, each is stripped and put below
-    a marker with its position. Texts are joined per run of pages first; one row
-    per run, with the count of pages before it, then makes up the document.
+    a marker with its position. Numbers below 1 are not pages: they only carry an
+    error, and a document without pages has an empty text. Texts are joined per
+    run of pages first; one row per run, with the count of pages before it, then
+    makes up the document.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
+    at = F.col(order)
+    page = F.when(at >= 1, F.struct(at.alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    message = F.col(error) if error else F.lit(None).cast("string")
     runs = (
-        pages.groupBy(key, F.floor(F.col(order) / F.lit(SPAN)).alias("_run"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), raw.alias("text")))).alias("_rows"))
+        pages.groupBy(key, F.floor(at / F.lit(SPAN)).alias("_run"))
+        .agg(F.array_sort(F.collect_list(page)).alias("_rows"), F.min(message).alias("_error"))
         .withColumn("_n", F.size("_rows"))
     )
     by_key = Window.partitionBy(key)
@@ -60,27 +64,30 @@ def assemble_pages(
     )
 
     def marked(row: Column, i: Column) -> Column:
-        at = (F.col("_before") + i + 1).cast("string")
-        return F.concat(F.lit("<!-- page: "), at, F.lit(" -->\n\n"), strip(row["text"]))
+        number = (F.col("_before") + i + 1).cast("string")
+        return F.concat(F.lit("<!-- page: "), number, F.lit(" -->\n\n"), strip(row["text"]))
 
     joined = F.array_join(F.transform("_rows", marked), "\n\n")
-    only = F.element_at("_rows", 1)["text"]
-    parts = placed.select(key, "_run", F.when(F.col("_pages") == 1, only).otherwise(joined).alias("text"))
+    only = F.try_element_at(F.col("_rows"), F.lit(1))["text"]
+    shown = F.when(F.col("_pages") == 1, only).otherwise(joined)
+    part = F.when(F.col("_n") > 0, F.struct("_run", shown.alias("text")))
     return (
-        parts.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_run", "text"))).alias("_parts"))
-        .select(key, F.array_join(F.transform("_parts", lambda p: p["text"]), "\n\n").alias("markdown"))
+        placed.select(key, part.alias("_part"), "_error")
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list("_part")).alias("_parts"), F.min("_error").alias("_error"))
+        .select(
+            key,
+            F.array_join(F.transform("_parts", lambda p: p["text"]), "\n\n").alias("markdown"),
+            shorten_error(F.col("_error")).alias("error"),
+        )
     )
 
 
-def document_markdown(parsed: DataFrame) -> DataFrame:
-    """(document_id, markdown, error) from parser rows; a page-less file is empty."""
-    errors = parsed.groupBy("document_id").agg(
-        shorten_error(F.min("error")).alias("error")
-    )
-    texts = assemble_pages(parsed.filter(F.col("page_no") >= 1))
-    joined = errors.join(texts, "document_id", "left")
-    return joined.select("document_id", F.coalesce("markdown", F.lit("")).alias("markdown"), "error")
+def assemble_pages(
+    pages: DataFrame, key: str = "document_id", order: str = "page_no", text: str = "text"
+) -> DataFrame:
+    """One Markdown text per document from its page rows, numbered from 1."""
+    return document_markdown(pages, key, order, text, error=None).drop("error")
 
 
 # The HTML parts dropped whole, and the entities read back.

@@ -90,7 +90,11 @@ def with_defaults(questions: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 @dataclass
 class QuestionBlock:
-    """Unit question vectors with their scopes and pools, as plain arrays."""
+    """Unit question vectors with their scopes and pools, as plain arrays.
+
+    Broadcast as a dict of its arrays: broadcast values are pickled by name, and
+    executors have no copy of the package.
+    """
 
     ids: np.ndarray
     vectors: np.ndarray
@@ -215,7 +219,7 @@ def best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFrame
     tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestRows(block.value, min_score)
+        best = BestRows(QuestionBlock(**block.value), min_score)
         for batch in batches:
             best.add(batch)
         found = best.rows()
@@ -306,7 +310,7 @@ def knn_join(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_sco
         if name not in names:
             narrow = narrow.withColumn(name, F.lit(None).cast("string"))
     if is_bounded(asked, cfg.broadcast_bytes):
-        block = chunks.sparkSession.sparkContext.broadcast(QuestionBlock.of(asked.toPandas()))
+        block = chunks.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(asked.toPandas())))
         hits = best_rows_of(narrow, block, min_score)
     else:
         one = F.lit(0).alias("cell")
@@ -325,7 +329,7 @@ def knn_topk(chunks: DataFrame, vector: list[float], k: int, cfg: EngineConfig)
         *[F.lit(None).cast("string").alias(n) for n in SCOPES],
     )
     narrow = chunks.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
-    block = spark.sparkContext.broadcast(QuestionBlock.of(one.toPandas()))
+    block = spark.sparkContext.broadcast(vars(QuestionBlock.of(one.toPandas())))
     best = best_rows_of(narrow, block, None)
     return best.drop("question_id").orderBy(F.col("score").desc(), "document_id", "chunk_index").limit(k)
 

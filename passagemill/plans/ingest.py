@@ -17,7 +17,7 @@ from ..operators.embed import EmbedFn, embed_chunks
 from ..operators.lifecycle import apply_run
 from ..operators.parse import ParseFn, document_markdown, parse_files
 from ..operators.validate import check_uploads
-from ..session import spread
+from ..session import broadcast_if_bounded, spread
 from ..sources.files import markdown_path, register, scan_files
 from ..sources.tables import Tables
 
@@ -44,7 +44,8 @@ def run_ingest(
     recorded on its document.
     """
     started = F.lit(run_ts).cast("timestamp")
-    texts = registered.select(*CARRIED).join(markdown, "document_id")
+    names = broadcast_if_bounded(registered.select(*CARRIED), cfg.broadcast_bytes)
+    texts = markdown.join(names, "document_id")
     error = F.when(F.col("error").isNotNull(), shorten_error(F.col("error"))).when(
         is_blank(F.col("markdown")), F.lit(NO_TEXT)
     )
