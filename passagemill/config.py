@@ -32,6 +32,9 @@ class EngineConfig:
     # Vector bytes per chunk block when questions are too many to broadcast.
     chunk_block_bytes: int = 256 * 1024 * 1024
 
+    # Tasks of a search scan; None keeps one per split of the chunk table.
+    scan_tasks: int | None = None
+
     def __post_init__(self) -> None:
         if self.chunk_size < 1:
             raise ValueError("chunk_size must be at least 1")

@@ -102,7 +102,7 @@ def ann_join(
     rows["cells"] = list(mask)
     probed = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
     block = celled.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(rows)))
-    return rank_hits(best_rows_of(narrow.filter(F.col("cell").isin(probed)), block, None), asked, cfg)
+    return rank_hits(best_rows_of(narrow.filter(F.col("cell").isin(probed)), block, None, cfg), asked, cfg)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> float:

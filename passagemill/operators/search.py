@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ SCOPES = ("document_id", "collection", "user_id")
 # on how rows were batched, and ties must fall the same way on every run.
 SCORE_DIGITS = 9
 
-TASKS_PER_CORE = 4
-
 HIT_FIELDS = "question_id string, document_id string, chunk_index int, score double"
 
 
@@ -209,14 +208,15 @@ class BestRows:
         )
 
 
-def best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFrame:
+def best_rows_of(chunks: DataFrame, block: Broadcast, min_score: float | None, cfg: EngineConfig) -> DataFrame:
     """Scan chunks once; every task returns its best rows per question.
 
-    Scan splits are grouped into a few long tasks per core (no shuffle): the rows
-    that leave the scan are tasks x questions x pool, and a longer task also
-    raises its own floor sooner.
+    The rows that leave the scan are tasks x questions x pool. ``cfg.scan_tasks``
+    groups the splits of a very large scan into that many tasks (no shuffle); a
+    longer task also raises its own floor sooner.
     """
-    tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
+    if cfg.scan_tasks:
+        chunks = chunks.coalesce(cfg.scan_tasks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestRows(QuestionBlock(**block.value), min_score)
@@ -226,7 +226,7 @@ def best_rows_of(chunks: DataFrame, block, min_score: float | None) -> DataFrame
         if len(found):
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    return chunks.coalesce(tasks).mapInArrow(scan, HIT_FIELDS)
+    return chunks.mapInArrow(scan, HIT_FIELDS)
 
 
 def best_rows_by_blocks(chunks: DataFrame, probes: DataFrame, cfg: EngineConfig, min_score: float | None) -> DataFrame:
@@ -281,7 +281,7 @@ def rank_hits(hits: DataFrame, questions: DataFrame, cfg: EngineConfig) -> DataF
     order = Window.partitionBy("question_id").orderBy(
         F.col("score").desc(), "document_id", "chunk_index"
     )
-    widest = max(50, cfg.pool_size)
+    widest = questions.agg(F.max("pool").alias("p")).first()["p"] or 0
     ranked = hits.withColumn("ann_rank", F.row_number().over(order)).filter(F.col("ann_rank") <= widest)
     limits = broadcast_if_bounded(questions.select("question_id", "pool", "top_k"), cfg.broadcast_bytes)
     return ranked.join(limits, "question_id").filter(F.col("ann_rank") <= F.col("pool"))
@@ -311,7 +311,7 @@ def knn_join(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_sco
             narrow = narrow.withColumn(name, F.lit(None).cast("string"))
     if is_bounded(asked, cfg.broadcast_bytes):
         block = chunks.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(asked.toPandas())))
-        hits = best_rows_of(narrow, block, min_score)
+        hits = best_rows_of(narrow, block, min_score, cfg)
     else:
         one = F.lit(0).alias("cell")
         hits = best_rows_by_blocks(narrow.select("*", one), asked.select("*", one), cfg, min_score)
@@ -330,7 +330,7 @@ def knn_topk(chunks: DataFrame, vector: list[float], k: int, cfg: EngineConfig)
     )
     narrow = chunks.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
     block = spark.sparkContext.broadcast(vars(QuestionBlock.of(one.toPandas())))
-    best = best_rows_of(narrow, block, None)
+    best = best_rows_of(narrow, block, None, cfg)
     return best.drop("question_id").orderBy(F.col("score").desc(), "document_id", "chunk_index").limit(k)
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators.cite import prompts
 from ..operators.rerank import lexical_score, rerank, vector_cut
-from ..operators.search import knn_join, score_gate, visible_chunks
-from ..operators.validate import TOP_K_MAX
+from ..operators.search import knn_join, score_gate, visible_chunks, with_defaults
 from ..session import broadcast_if_bounded
 
 # Generous size of one pooled row: two ids, a file name, ranks and a score.
@@ -30,7 +29,8 @@ def gated_pool(questions: DataFrame, chunks: DataFrame, documents: DataFrame, cf
     """
     scoped = visible_chunks(chunks, documents, cfg, ["embedding"])
     hits = score_gate(knn_join(scoped, questions, cfg, min_score=cfg.min_score), cfg)
-    few = questions.count() * max(TOP_K_MAX, cfg.pool_size) * HIT_BYTES <= cfg.broadcast_bytes
+    pooled = with_defaults(questions, cfg).agg(F.sum("pool").alias("n")).first()["n"] or 0
+    few = pooled * HIT_BYTES <= cfg.broadcast_bytes
     small = F.broadcast if few else (lambda df: df)
     names = documents.select("document_id", "original_filename")
     named = names.join(small(hits), "document_id")

@@ -41,6 +41,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A table with fewer scan splits than cores is small (a split holds at most
     ``spark.sql.files.maxPartitionBytes``), often one file read by one task; it
     is dealt out by its unique keys. A larger table keeps its splits: no shuffle.
+    ``df`` is a plain scan, so that counting its partitions only plans it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -86,6 +86,21 @@ def test_blocks_equal_broadcast(spark):
     assert found(knn_join(c, q, tight)) == found(knn_join(c, q, CFG))
 
 
+def test_grouped_scan_gives_the_same(spark):
+    chunks, questions = data(8)
+    c, q = spark.createDataFrame(chunks, CHUNK).repartition(9), spark.createDataFrame(questions, QUESTION)
+    grouped = EngineConfig(embedding_dim=DIM, pool_size=12, top_k=3, scan_tasks=2)
+    assert found(knn_join(c, q, grouped)) == found(knn_join(c, q, CFG))
+
+
+def test_wide_requests_are_not_cut(spark):
+    """A request beyond the usual limit, if let through, is answered whole."""
+    chunks, questions = data(9)
+    questions = [q[:5] + (120,) for q in questions]
+    c, q = spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(questions, QUESTION)
+    same(found(knn_join(c, q, CFG)), brute(chunks, questions, CFG))
+
+
 def test_gate_below_ranking_is_exact(spark):
     chunks, questions = data(4)
     c, q = spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(questions, QUESTION)
