@@ -118,17 +118,20 @@ class QuestionBlock:
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, float64 matrix) of the non-null vectors of a list column."""
-    rows = np.flatnonzero(~np.asarray(column.is_null()))
-    values = column.filter(column.is_valid()).flatten()
+    rows = np.arange(len(column))
+    if column.null_count:
+        rows = np.flatnonzero(np.asarray(column.is_valid()))
+        column = column.filter(column.is_valid())
     if not len(rows):
         return rows, np.empty((0, 0))
-    return rows, values.to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return rows, values.reshape(len(rows), -1).astype(np.float64)
 
 
 class BestRows:
     """The running best rows per question over the batches of one task."""
 
-    # Score cells held at once, questions x rows.
+    # Numbers held at once: scores (questions x rows) and vectors (rows x width).
     CELLS = 4_000_000
 
     def __init__(self, block: QuestionBlock, min_score: float | None):
@@ -138,19 +141,28 @@ class BestRows:
         self.best = pd.DataFrame({"q": [], "score": [], "document_id": [], "chunk_index": []})
 
     def add(self, batch: pa.RecordBatch) -> None:
+        if not len(self.block.ids):
+            return
+        step = max(1, self.CELLS // max(self.block.vectors.shape))
+        for at in range(0, batch.num_rows, step):
+            self._add_rows(batch.slice(at, step))
+
+    def _add_rows(self, batch: pa.RecordBatch) -> None:
         rows, matrix = _matrix(batch.column("embedding"))
-        if not len(self.block.ids) or not len(rows):
+        if not len(rows):
             return
-        lengths = np.linalg.norm(matrix, axis=1)
+        lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         usable = np.isfinite(lengths) & (lengths > 0)
-        rows, matrix = rows[usable], matrix[usable] / lengths[usable, None]
-        step = max(1, self.CELLS // len(self.block.ids))
+        if not usable.all():
+            rows, matrix, lengths = rows[usable], matrix[usable], lengths[usable]
         names = ["document_id", "chunk_index", *self.block.scopes]
         if self.block.cells is not None:
             names.append("cell")
-        table = batch.select(list(dict.fromkeys(names))).take(pa.array(rows)).to_pandas()
-        for at in range(0, len(rows), step):
-            self._score(matrix[at : at + step], table.iloc[at : at + step])
+        table = batch.select(list(dict.fromkeys(names)))
+        if len(rows) < batch.num_rows:
+            table = table.take(pa.array(rows))
+        if len(rows):
+            self._score(matrix, lengths, table.to_pandas())
 
     def _allowed(self, table: pd.DataFrame) -> np.ndarray | None:
         allowed = None
@@ -165,8 +177,8 @@ class BestRows:
             allowed = probed if allowed is None else allowed & probed
         return allowed
 
-    def _score(self, matrix: np.ndarray, table: pd.DataFrame) -> None:
-        scores = np.round(self.block.vectors @ matrix.T, SCORE_DIGITS)
+    def _score(self, matrix: np.ndarray, lengths: np.ndarray, table: pd.DataFrame) -> None:
+        scores = np.round(self.block.vectors @ matrix.T / lengths, SCORE_DIGITS)
         allowed = self._allowed(table)
         if allowed is not None:
             scores[~allowed] = -np.inf
