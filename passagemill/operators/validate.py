@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.wording import shorten_error
 
 QUESTION_MAX = 2000
 TOP_K_MAX = 50
@@ -45,7 +44,3 @@ def check_list_limit(limit: int = LIST_DEFAULT) -> int:
     if not 1 <= limit <= LIST_MAX:
         raise ValueError(f"limit must be in 1..{LIST_MAX}")
     return limit
-
-
-def error_text(message: Column) -> Column:
-    return shorten_error(message)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as txt
-from passagemill.functions.ids import stable_id
 from passagemill.functions.vectors import HashedWords, micro_text
 from passagemill.functions.wording import embedding_input
 from passagemill.operators.chunk import chunk_documents, section_rows
