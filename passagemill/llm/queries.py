@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, pseudonym, secrets, simhash, substring
+from passagemill.llm import bpe, decontam, graph_ann, katz, pseudonym, quality, secrets, simhash, substring, toxicity
 from passagemill.llm.shared import table
 
 PSEUDONYM_KEY = "linked-across-documents"
@@ -16,6 +17,17 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    scored = toxicity.score_documents(docs, net)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -24,10 +36,28 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score_documents(table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return scored.select(
+        "doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path(), with_ids=False)
 
@@ -36,5 +66,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring, op3_pseudonyms, op5_simhash, op9_bpe, op10_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_substring, op3_pseudonyms, op4_neighbours, op5_simhash, op6_katz, op7_quality,
+        op8_decontamination, op9_bpe, op10_secrets,
+    )
+}
+#: None of the ten can be written in SQL whole; tests hold them against brute force.
 ORACLE: dict[str, str] = {}
