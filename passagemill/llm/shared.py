@@ -57,8 +57,10 @@ def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 def finished(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps whose results are written and whose frames are gone.
 
-    Spark's cleaner works when the driver's garbage is collected, which can take half an hour by itself.
+    Spark's cleaner works when the driver's garbage is collected, which can take half an hour by itself. The
+    session holds on to the query run last, so an empty one takes its place before.
     """
+    spark.range(0).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
