@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm import words as W
+from passagemill.llm.shared import chunks
 
 _BITS = 20  # of the numbers that words and n-grams hash to
 _GRAMS = (3, 4, 5, 6)  # bytes, with a mark before and after the word
@@ -31,9 +32,9 @@ class ToxicityRule:
     window: int = 32
     step: int = 24
     #: The training sample: labelled toxic and other texts at most; longer texts are not taken.
-    toxic_docs: int = 1500
-    other_docs: int = 3000
-    longest_bytes: int = 20_000
+    toxic_docs: int = 1000
+    other_docs: int = 2000
+    longest_bytes: int = 8_000
     #: Texts that a word or n-gram must stand in to have an embedding of its own.
     least_texts: int = 30
     rounds: int = 4
@@ -53,9 +54,12 @@ class Words:
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         buf = W.LOWER[buf]
         starts, ends, doc = W.spans(buf, off)
-        hashes = W.span_hash(W.prefix(buf), starts, ends)
-        unique, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
         self.bounds = np.searchsorted(doc, np.arange(len(off)))
+        hashes = np.zeros(len(starts), np.uint64)
+        for a, b in chunks(np.diff(off), W.CHUNK_BYTES):
+            mine = slice(self.bounds[a], self.bounds[b])
+            hashes[mine] = W.span_hash(W.prefix(buf[off[a] : off[b]]), starts[mine] - off[a], ends[mine] - off[a])
+        unique, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
         self.row = (unique >> np.uint64(64 - _BITS)).astype(np.int64)
         size = (ends - starts)[first]
         # each word between two marks
@@ -249,19 +253,28 @@ class Network:
         return grad, loss
 
 
-def _pairs(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, embedding row) pairs."""
-    pairs = np.unique(docs * np.int64(1 << _BITS) + rows)
-    return pairs >> _BITS, pairs & ((1 << _BITS) - 1)
-
-
-def _odds(doc: np.ndarray, row: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+def _texts_with(words: Words, kind: np.ndarray, n_kinds: int) -> dict[str, np.ndarray]:
+    """In how many texts of each kind every number of a word or n-gram stands; a few texts at a time."""
+    out = {name: np.zeros((n_kinds, 1 << _BITS), np.int32) for name in ("word", "char")}
+    for a in range(0, len(kind), 100):
+        b = min(a + 100, len(kind))
+        lo, hi = words.bounds[a], words.bounds[b]
+        doc = np.repeat(np.arange(b - a), np.diff(words.bounds[a : b + 1]))
+        pairs = np.unique(doc * np.int64(max(1, len(words))) + words.number[lo:hi])
+        doc, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+        n = words.n_grams[word]
+        gram = words.gram[_expand(words.begin[word], n)]
+        for name, d, row in (("word", doc, words.row[word]), ("char", np.repeat(doc, n), gram)):
+            own = np.unique(d << _BITS | row)
+            for k in range(n_kinds):
+                mine = own[kind[a + (own >> _BITS)] == k] & ((1 << _BITS) - 1)
+                out[name][k] += np.bincount(mine, minlength=1 << _BITS).astype(np.int32)
+    return out
+
+
+def _odds(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
     """How much oftener each number stands in toxic texts: a log ratio less two standard errors, at least 0."""
-    doc, row = doc[use[doc]], row[use[doc]]
-    yes = np.bincount(row, weights=toxic[doc], minlength=1 << _BITS)
-    no = np.bincount(row, minlength=1 << _BITS) - yes
-    n_yes = toxic[use].sum()
-    ratio = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (use.sum() - n_yes + 1))
+    ratio = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
     return np.maximum(0, (ratio - 2 * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))) / 2).astype(np.float32)
 
 
@@ -281,26 +294,25 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rule: ToxicityRule
     words = Words(*W.flat(pa.array(texts, pa.string())))
     at, doc = words.windows(rule.window, rule.step)
     begin = np.searchsorted(doc, np.arange(len(texts)))
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    n = words.n_grams[words.number]
-    seen = {
-        "word": _pairs(words.row[words.number], doc_of),
-        "char": _pairs(words.gram[_expand(words.begin[words.number], n)], np.repeat(doc_of, n)),
-    }
-    for name, (_, row) in seen.items():
-        frequent = np.flatnonzero(np.bincount(row, minlength=1 << _BITS) >= rule.least_texts)
+    half, aside = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(toxic == kind)
+        half[own[::2]] = 1
+        aside[own[:: rule.calibrates]] = True
+    kind = half * 2 + toxic.astype(np.int64)
+    seen, n = _texts_with(words, kind, 4), np.bincount(kind, minlength=4)
+    for name, counts in seen.items():
+        frequent = np.flatnonzero(counts.sum(axis=0) >= rule.least_texts)
         net.slot[name][frequent] = np.arange(1, len(frequent) + 1)
         net.p[name] = np.append(net.p[name], rng.normal(0, 0.05, (len(frequent), _EMB)).astype(np.float32), axis=0)
-    aside = np.zeros(len(texts), bool)
-    half = np.zeros(len(texts), bool)
-    for kind in (0, 1):
-        half[np.flatnonzero(toxic == kind)[::2]] = True
-        aside[np.flatnonzero(toxic == kind)[:: rule.calibrates]] = True
-    odds = {h: [_odds(*seen[k], toxic, half != h) for k in ("word", "char")] for h in (False, True)}
+    # a half's odds are counted in the other half
+    odds = [[_odds(c[o + 1], c[o], n[o + 1], n[o]) for c in seen.values()] for o in (2, 0)]
+    every = [_odds(c[1] + c[3], c[0] + c[2], n[1] + n[3], n[0] + n[2]) for c in seen.values()]
+    del seen
     score = np.zeros(len(at))
 
     def by_half(work) -> None:
-        for h in (False, True):
+        for h in (0, 1):
             net.word_odds, net.gram_odds = odds[h]
             work(half[doc] == h)
 
@@ -319,12 +331,12 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rule: ToxicityRule
         picked = np.concatenate([top, some[toxic[doc[some]] == 0]])
         picked = picked[~aside[doc[picked]]]
         rng.shuffle(picked)
-        parts = [picked[half[doc[picked]] == h][k : k + 256] for h in (False, True) for k in range(0, len(picked), 256)]
+        parts = [picked[half[doc[picked]] == h][k : k + 256] for h in (0, 1) for k in range(0, len(picked), 256)]
         for k in rng.permutation(len(parts)):
             part = parts[k]
             if not len(part):
                 continue
-            net.word_odds, net.gram_odds = odds[bool(half[doc[part[0]]])]
+            net.word_odds, net.gram_odds = odds[half[doc[part[0]]]]
             y = toxic[doc[part]].astype(np.float32)
             weight = (weight_of[doc[part]] / len(part)).astype(np.float32)
             for name, g in net.gradients(words, at[part], y, weight)[0].items():
@@ -339,7 +351,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rule: ToxicityRule
                     squares[name] += g * g
                     net.p[name] -= 0.05 * g / np.sqrt(squares[name])
         by_half(read)
-    net.word_odds, net.gram_odds = [_odds(*seen[k], toxic, np.ones(len(texts), bool)) for k in ("word", "char")]
+    net.word_odds, net.gram_odds = every
     if not 0 < toxic[aside].sum() < aside.sum():
         aside[:] = True
     _calibrate(net, np.maximum.reduceat(score, begin)[aside], toxic[aside], share)
