@@ -65,7 +65,8 @@ def _beam(x: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int
         if not len(live):
             break
         opened[live, best] = True
-        near = links[ids[live, best]]
+        near = np.sort(links[ids[live, best]], axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = n
         fresh = ~seen[live[:, None], near]
         near = np.where(fresh, near, n)
         seen[live[:, None], near] = True
@@ -142,7 +143,8 @@ def _run_back(x: np.ndarray, links: np.ndarray, part: np.ndarray, degree: int, s
         t = target[here]
         for k in range(0, len(t), 1024):
             own = slice(k, k + 1024)
-            lists = np.concatenate([links[t[own]], more[own]], axis=1)
+            lists = np.sort(np.concatenate([links[t[own]], more[own]], axis=1), axis=1)
+            lists[:, 1:][lists[:, 1:] == lists[:, :-1]] = n
             used = (lists < n).sum(axis=1)
             packed = np.sort(lists, axis=1)[:, :degree]
             full = used > degree
