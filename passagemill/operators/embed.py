@@ -23,16 +23,27 @@ def embedder(cfg: EngineConfig, make_model: Callable[[], EmbedFn] | None = None)
     The model is built once per task. Calls are filled across documents: rows of
     one Arrow batch share a call whatever document they come from. If a call
     fails, its texts are tried one by one and only those that fail again carry
-    an error, so one document cannot fail another.
+    an error, so one document cannot fail another. A reply counts as failed if it has
+    another number of vectors than texts, or a vector of another width than
+    ``cfg.embedding_dim``: nothing is shifted to other texts.
     """
     build = make_model or partial(HashedWords, cfg.embedding_dim)
     size = cfg.embed_batch
 
+    def asked(model: EmbedFn, texts: list[str]) -> list:
+        found = list(model(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        for vector in found:
+            if len(vector) != cfg.embedding_dim:
+                raise ValueError(f"a vector of {len(vector)} numbers, not {cfg.embedding_dim}")
+        return found
+
     def one_by_one(model: EmbedFn, texts: list[str]) -> tuple[list, list]:
         vectors, errors = [], []
         for text in texts:
             try:
-                vectors.append(model([text])[0])
+                vectors.append(asked(model, [text])[0])
                 errors.append(None)
             except Exception as exc:  # noqa: BLE001 - the failure belongs to its text
                 vectors.append(None)
@@ -49,7 +60,7 @@ def embedder(cfg: EngineConfig, make_model: Callable[[], EmbedFn] | None = None)
             for at in range(0, len(values), size):
                 part = values[at : at + size]
                 try:
-                    vectors.extend(model(part))
+                    vectors.extend(asked(model, part))
                     errors.extend([None] * len(part))
                 except Exception:  # noqa: BLE001
                     found, failed = one_by_one(model, part)

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import empty_to_null
 from ..session import broadcast_if_bounded, is_bounded, stored
 
 SCOPES = ("document_id", "collection", "user_id")
@@ -55,23 +55,14 @@ def list_filter(documents: DataFrame, collection: str | None = None, user_id: st
 def visible_chunks(chunks: DataFrame, documents: DataFrame, cfg: EngineConfig, columns: Iterable[str]) -> DataFrame:
     """Chunks of completed documents with the documents' scope columns.
 
-    Chunk rows are wide, so they are moved only if nothing else is left:
-
-    1. a registry that measures small, cut to the columns the search needs, is
-       broadcast;
-    2. chunks that carry their scope need no registry columns: if the documents
-       that are not completed measure small, those are broadcast to be removed;
-    3. else both sides meet by document, and adaptive execution splits a document
-       that holds many chunks.
+    A chunk is visible if the registry has its document as completed, and the
+    scope is the registry's. This is one inner join at every size: a registry cut
+    to these columns that measures small is broadcast, else both sides meet by
+    document and adaptive execution splits a document that holds many chunks.
     """
     wanted = ["document_id", "chunk_index", "collection", "user_id", *columns]
     scope = documents.filter(F.col("status") == "completed").select("document_id", "collection", "user_id")
-    if is_bounded(scope, cfg.broadcast_bytes):
-        return chunks.drop("collection", "user_id").join(F.broadcast(scope), "document_id").select(*wanted)
-    if {"collection", "user_id"} <= set(chunks.columns):
-        hidden = documents.filter(F.col("status") != "completed").select("document_id")
-        if is_bounded(hidden, cfg.broadcast_bytes):
-            return chunks.join(F.broadcast(hidden), "document_id", "left_anti").select(*wanted)
+    scope = broadcast_if_bounded(scope, cfg.broadcast_bytes)
     return chunks.drop("collection", "user_id").join(scope, "document_id").select(*wanted)
 
 
@@ -79,7 +70,7 @@ def with_defaults(questions: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Per-question ``top_k`` and ``pool``; scope columns with '' made null."""
     out = questions
     for name in SCOPES:
-        column = empty_to_null(F.col(name)) if name in questions.columns else F.lit(None).cast("string")
+        column = F.nullif(F.col(name), F.lit("")) if name in questions.columns else F.lit(None).cast("string")
         out = out.withColumn(name, column)
     asked = F.col("top_k").cast("int") if "top_k" in questions.columns else F.lit(None).cast("int")
     out = out.withColumn("top_k", F.coalesce(F.nullif(asked, F.lit(0)), F.lit(cfg.top_k)))
@@ -103,7 +94,10 @@ class QuestionBlock:
 
     @classmethod
     def of(cls, rows: pd.DataFrame) -> QuestionBlock:
-        vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]])
+        """Questions without a vector, or with one of another width than most, are left out."""
+        width = common_width([len(v) for v in rows["q_vec"] if v is not None])
+        rows = rows[np.array([v is not None and len(v) == width for v in rows["q_vec"]], dtype=bool)]
+        vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]]).reshape(len(rows), width)
         lengths = np.linalg.norm(vectors, axis=1)
         usable = np.isfinite(lengths) & (lengths > 0)
         kept = rows[usable]
@@ -116,14 +110,20 @@ class QuestionBlock:
         )
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, float64 matrix) of the non-null vectors of a list column."""
-    rows = np.arange(len(column))
-    if column.null_count:
-        rows = np.flatnonzero(np.asarray(column.is_valid()))
-        column = column.filter(column.is_valid())
+def common_width(widths: list[int]) -> int:
+    """The most frequent positive length, the larger of equally frequent ones; 0 without any."""
+    found = [w for w in widths if w]
+    return max(set(found), key=lambda w: (found.count(w), w)) if found else 0
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, float64 matrix) of the vectors of ``width`` numbers of a list column."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    if len(rows) < len(column):
+        column = column.filter(fits)
     if not len(rows):
-        return rows, np.empty((0, 0))
+        return rows, np.empty((0, width))
     values = column.flatten().to_numpy(zero_copy_only=False)
     return rows, values.reshape(len(rows), -1).astype(np.float64)
 
@@ -148,7 +148,7 @@ class BestRows:
             self._add_rows(batch.slice(at, step))
 
     def _add_rows(self, batch: pa.RecordBatch) -> None:
-        rows, matrix = _matrix(batch.column("embedding"))
+        rows, matrix = _matrix(batch.column("embedding"), self.block.vectors.shape[1])
         if not len(rows):
             return
         lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
@@ -315,6 +315,10 @@ def knn_join(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_sco
         ),
         "questions",
     )
+    # A failed embedding has no vector: its question has no hits, the others are not touched.
+    usual = asked.filter(F.size("q_vec") > 0).groupBy(F.size("q_vec").alias("w")).count().orderBy(F.desc("count"), F.desc("w"))
+    width = usual.first()
+    asked = asked.filter(F.size("q_vec") == (width["w"] if width else 0))
     names = ["document_id", "chunk_index", "embedding"]
     names += [n for n in ("collection", "user_id") if n in chunks.columns]
     narrow = chunks.select(*names).withColumn("chunk_index", F.col("chunk_index").cast("int"))

@@ -23,8 +23,8 @@ from ..sources.tables import Tables
 
 # Registry columns that never change and travel with the chunks.
 CARRIED = ("document_id", "original_filename", "collection", "user_id")
-NO_TEXT = "parser returned empty markdown"
-NO_CHUNKS = "chunker produced no chunks"
+NO_TEXT = "no text could be read from the file"
+NO_CHUNKS = "the text gave no searchable piece"
 
 
 def run_ingest(

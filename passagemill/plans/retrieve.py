@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators.cite import prompts
 from ..operators.rerank import lexical_score, rerank, vector_cut
-from ..operators.search import knn_join, score_gate, visible_chunks, with_defaults
-from ..session import broadcast_if_bounded
+from ..operators.search import knn_join, score_gate, visible_chunks
+from ..operators.validate import check_questions
+from ..session import broadcast_if_bounded, stored
 
-# Generous size of one pooled row: two ids, a file name, ranks and a score.
-HIT_BYTES = 512
 DETAILS = ("page_number", "heading", "content")
 
 
@@ -24,17 +23,18 @@ def gated_pool(questions: DataFrame, chunks: DataFrame, documents: DataFrame, cf
     Only ids, scopes and vectors take part in the search. Content is read in a
     second narrow scan for the pooled rows, and the registry gives file names.
     ``chunks`` holds one run per document (``Tables.visible_chunks``).
-    When questions x pool is small, the pooled rows are broadcast to both scans
-    and neither table is shuffled.
+    The pooled rows are stored and measured: where they are small, they are broadcast
+    to both scans and neither table is shuffled. A question that fails its check
+    (length, top_k) takes no part.
     """
+    questions = check_questions(questions if "top_k" in questions.columns else questions.withColumn("top_k", F.lit(None).cast("int")))
+    questions = questions.filter(F.col("reason").isNull()).drop("reason")
     scoped = visible_chunks(chunks, documents, cfg, ["embedding"])
-    hits = score_gate(knn_join(scoped, questions, cfg, min_score=cfg.min_score), cfg)
-    pooled = with_defaults(questions, cfg).agg(F.sum("pool").alias("n")).first()["n"] or 0
-    few = pooled * HIT_BYTES <= cfg.broadcast_bytes
-    small = F.broadcast if few else (lambda df: df)
+    hits = stored(score_gate(knn_join(scoped, questions, cfg, min_score=cfg.min_score), cfg), "hits")
     names = documents.select("document_id", "original_filename")
-    named = names.join(small(hits), "document_id")
-    rows = chunks.select("document_id", "chunk_index", *DETAILS).join(small(named), ["document_id", "chunk_index"])
+    named = stored(names.join(broadcast_if_bounded(hits, cfg.broadcast_bytes), "document_id"), "hits")
+    small = broadcast_if_bounded(named, cfg.broadcast_bytes)
+    rows = chunks.select("document_id", "chunk_index", *DETAILS).join(small, ["document_id", "chunk_index"])
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "question")
     return rows.join(broadcast_if_bounded(asked, cfg.broadcast_bytes), "question_id")
 

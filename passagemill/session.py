@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +9,9 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is set only if none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="passagemill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    """The folder that driver and executors share: the one the session names, else one in its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/passagemill-steps"
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:

@@ -57,7 +57,7 @@ def sse_deltas(lines: DataFrame, provider: str = "provider") -> DataFrame:
     """
     data = lines.select("stream_id", "seq", provider, data_field(F.col("line")).alias("data"))
     data = data.filter(F.col("data").isNotNull())
-    openai = F.col(provider) != "anthropic"
+    openai = F.lower(F.coalesce(F.col(provider), F.lit(""))) != "anthropic"
     ends = (
         data.filter(openai & (F.col("data") == "[DONE]")).groupBy("stream_id").agg(F.min("seq").alias("_end"))
     )

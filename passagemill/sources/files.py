@@ -23,11 +23,12 @@ def mime_of(path: Column) -> Column:
 def scan_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Files below ``path`` as rows: path, name, mime, length, modificationTime, content.
 
-    With ``max_bytes`` the reader skips larger files before it loads them.
+    With ``max_bytes`` larger files are rows too, but their content is not loaded and is null.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
+        large = files.filter(F.col("length") > max_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+        files = files.filter(F.col("length") <= max_bytes).unionByName(large)
     return files.select(
         "path", basename(F.col("path")).alias("filename"), mime_of(F.col("path")).alias("mime"),
         "length", "modificationTime", "content",

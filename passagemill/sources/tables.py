@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EngineConfig
-from ..operators.lifecycle import active_runs, visible_runs
+from ..operators.lifecycle import active_runs
 from ..schemas import CHUNKS, DOCUMENTS, JOB_LOG, MARKDOWN
-from ..session import broadcast_if_bounded, is_bounded
+from ..session import broadcast_if_bounded
 
 SCHEMAS = {"documents": DOCUMENTS, "markdown": MARKDOWN, "chunks": CHUNKS, "jobs": JOB_LOG}
 
@@ -54,16 +54,9 @@ class Tables:
     def visible_chunks(self, cfg: EngineConfig) -> DataFrame:
         """Chunks of the active run of completed documents, in the plain chunk columns.
 
-        Hidden (document, run) pairs are the replaced and the failed ones, usually
-        few: they are broadcast and removed without moving chunks. Only runs that
-        reached the registry count, so a run that died half-way is not seen.
+        One inner join with the active (document, run) pairs at every size: broadcast
+        where they measure small. A run that died half-way, a replaced one and a document
+        without a registry row have no such pair.
         """
-        log = self.read("documents").select("document_id", "run_id")
-        runs = log.select("run_id").distinct()
-        active = active_runs(self.documents())
-        hidden = log.join(active, ["document_id", "run_id"], "left_anti")
-        chunks = self.read("chunks")
-        if is_bounded(hidden, cfg.broadcast_bytes):
-            known = chunks.join(broadcast_if_bounded(runs, cfg.broadcast_bytes), "run_id", "left_semi")
-            return known.join(F.broadcast(hidden), ["document_id", "run_id"], "left_anti")
-        return visible_runs(chunks, self.documents())
+        active = broadcast_if_bounded(active_runs(self.documents()), cfg.broadcast_bytes)
+        return self.read("chunks").join(active, ["document_id", "run_id"])

@@ -20,7 +20,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.sentences import BROWSER_SPACES, MIN_SENTENCE_CHARS, sentence_matches
 
 STATE = "next_seq long, waiting string, text string, emitted long"
-IDLE_MS = 60 * 60 * 1000
 
 
 
@@ -40,7 +39,7 @@ def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def stream_ordered_release(results: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def stream_ordered_release(results: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Release payloads strictly by number from 1; failed ones do not block.
 
     ``results``: stream_id, seq, payload, failed.
@@ -76,7 +75,7 @@ def _plain(value):
     return value.item() if hasattr(value, "item") else str(value)
 
 
-def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def stream_sentences(events: DataFrame, min_chars: int = MIN_SENTENCE_CHARS, idle_ms: int | None = None) -> DataFrame:
     """Emit sentences while an answer is still being written.
 
     ``events``: stream_id, seq from 0 without gaps, type ('delta' or 'done') and

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passagemill.config import EngineConfig
 from passagemill.functions import wording
 from passagemill.functions.vectors import cosine
+from passagemill.operators.embed import embed_questions
 from passagemill.operators.ann import ann_join, assign_cells, recall, train_cells
 from passagemill.operators.rerank import pair_scorer, rerank
 from passagemill.operators.search import knn_join, knn_topk, scope_filter, score_gate, visible_chunks
@@ -32,7 +33,7 @@ def data(seed=1, n=300, q=25):
     asked[0] = vectors[0]
     asked[1] = 0.0
     questions = [
-        (f"q{i}", [float(x) for x in v], "d7" if i % 7 == 3 else "", "c0" if i % 4 == 1 else None, "u1" if i % 5 == 2 else " ", [None, 5, 20, 1][i % 4])
+        (f"q{i}", [float(x) for x in v], "d7" if i % 7 == 3 else "", "c0" if i % 4 == 1 else None, "u1" if i % 5 == 2 else "", [None, 5, 20, 1][i % 4])
         for i, v in enumerate(asked)
     ]
     return chunks, questions
@@ -50,7 +51,7 @@ def brute(chunks, questions, cfg, min_score=None):
             size = np.linalg.norm(vn) * np.linalg.norm(qn)
             if not np.isfinite(size) or size == 0:
                 continue
-            if (doc.strip() and doc != d) or (coll and coll != c) or (user.strip() and user != u):
+            if (doc and doc != d) or (coll and coll != c) or (user and user != u):
                 continue
             rows.append((-round(float(vn @ qn / size), 9), d, i))
         for rank, (s, d, i) in enumerate(sorted(rows)[:pool], start=1):
@@ -144,15 +145,48 @@ def test_scope_ignores_empty_filters(spark):
 
 
 def test_hidden_documents_by_each_way(spark):
+    """Orphans, null states and stale scopes mean the same at every size: the registry decides."""
     chunks, _ = data(7)
     c = spark.createDataFrame(chunks, CHUNK)
+    states = {0: "failed", 1: None, 2: "processing"}
     docs = spark.createDataFrame(
-        [(f"d{i}", "failed" if i < 2 else "completed", f"c{i}", f"u{i}") for i in range(40)],
+        [(f"d{i}", states.get(i, "completed"), f"new{i}", f"u{i}") for i in range(38)],
         "document_id string, status string, collection string, user_id string",
     )
-    ways = [CFG, EngineConfig(broadcast_bytes=100), EngineConfig(broadcast_bytes=1)]
-    counts = {visible_chunks(c, docs, cfg, ["embedding"]).count() for cfg in ways}
-    assert counts == {sum(1 for r in chunks if r[0] not in ("d0", "d1"))}
+    ways = [EngineConfig(broadcast_bytes=n) for n in (10**9, 200, 1)]
+    cols = ["document_id", "chunk_index", "collection", "user_id"]
+    found = [sorted(map(tuple, visible_chunks(c, docs, cfg, ["embedding"]).select(*cols).collect())) for cfg in ways]
+    hidden = {"d0", "d1", "d2", "d38", "d39"}
+    want = sorted((r[0], r[1], f"new{r[0][1:]}", f"u{r[0][1:]}") for r in chunks if r[0] not in hidden)
+    assert found == [want] * 3
+
+
+def test_search_survives_bad_vectors(spark):
+    """Null, empty and odd-width vectors on either side, and no questions at all."""
+    chunk = "document_id string, chunk_index int, embedding array<float>"
+    rows = [("a", 0, [1.0, 0.0]), ("b", 0, None), ("c", 0, []), ("d", 0, [1.0, 0.0, 0.0, 0.0]), ("e", 0, [0.0, 1.0]), ("f", 0, [float("nan"), 1.0])]
+    c = spark.createDataFrame(rows, chunk)
+    asked = [("q1", [1.0, 0.1]), ("q2", None), ("q3", []), ("q4", [1.0, 0.0, 0.0]), ("q5", [0.0, 2.0]), ("q6", [0.0, 0.0])]
+    q = spark.createDataFrame(asked, "question_id string, q_vec array<float>")
+    for cfg in (EngineConfig(), EngineConfig(broadcast_bytes=1, chunk_block_bytes=8)):
+        got = {(r["question_id"], r["document_id"]) for r in knn_join(c, q, cfg).collect()}
+        assert got == {(i, d) for i in ("q1", "q5") for d in ("a", "e")}
+        assert knn_join(c, q.filter("false"), cfg).count() == 0
+
+
+def test_short_and_wide_replies_fail_alone(spark):
+    def make_model():
+        def model(texts):
+            found = [np.ones(3 if "wide" in t else 2) for t in texts]
+            return found[: -1 if any("short" in t for t in texts) else None]
+
+        return model
+
+    texts = ["one", "short", "wide", "two"]
+    q = spark.createDataFrame([(t,) for t in texts], "question string").coalesce(1)
+    got = {r["question"]: r for r in embed_questions(q, EngineConfig(embedding_dim=2), make_model).collect()}
+    assert [got[t]["embed_error"] is None for t in texts] == [True, False, False, True]
+    assert [got[t]["q_vec"] for t in texts] == [[1.0, 1.0], None, None, [1.0, 1.0]]
 
 
 def pool(spark, n, top_k):

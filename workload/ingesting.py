@@ -34,7 +34,8 @@ RUN_TS = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
 def file_intake(spark: SparkSession, sf: str) -> DataFrame:
     files = scan_files(spark, sf, CFG.max_upload_bytes)
-    return files.select("filename", "mime", "length", F.md5("content").alias("digest"))
+    reason = F.when(F.col("content").isNull(), F.lit("larger than the upload limit"))
+    return files.select("filename", "mime", "length", F.md5("content").alias("digest"), reason.alias("reason"))
 
 
 def upload_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,7 +427,7 @@ texts AS (
   CASE WHEN e.message IS NULL THEN 'completed' ELSE 'failed' END AS status, e.message AS error_message
 FROM pages p JOIN (
   SELECT page_id, CASE WHEN contains(html, 'lang="de"') THEN 'unsupported language: de'
-    WHEN contains(string_split(html, '</p>')[1], 'lang="es"') THEN 'parser returned empty markdown'
+    WHEN contains(string_split(html, '</p>')[1], 'lang="es"') THEN 'no text could be read from the file'
     WHEN EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = CAST(page_id AS VARCHAR)
                  AND len(regexp_extract_all({st.INPUT_SQL}, '[^{WS}]+')) > 400) THEN 'input longer than 400 words'
     END AS message FROM pages) e ON e.page_id = p.page_id""",
