@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -36,18 +36,25 @@ class CellIndex:
         return mask
 
 
+def has_direction(column: str, width: int | None = None) -> Column:
+    """Vectors a cosine exists for: components known and finite, not all zero, ``width`` of them if given."""
+    vector = F.col(column)
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = finite & F.exists(vector, lambda x: x != 0)
+    return F.coalesce(good if width is None else good & (F.size(vector) == width), F.lit(False))
+
+
 def train_cells(
-    chunks: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 10, fraction: float = 1.0
+    chunks: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 10, fraction: float = 1.0, dim: int | None = None
 ) -> CellIndex:
-    """Spherical k-means over chunk vectors.
+    """Spherical k-means over chunk vectors; with ``dim`` those of another width are left out.
 
     ``fraction`` below 1 trains the centroids on a share of the rows; every row
     is still assigned to a cell and searched.
     """
     if fraction < 1.0:
         chunks = chunks.sample(fraction, seed)
-    has_length = F.exists("embedding", lambda x: x != 0)
-    usable = chunks.filter(F.col("embedding").isNotNull() & has_length)
+    usable = chunks.filter(has_direction("embedding", dim))
     features = usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(features)
     centers = np.array(model.clusterCenters())
@@ -56,14 +63,18 @@ def train_cells(
 
 
 def assign_cells(chunks: DataFrame, index: CellIndex) -> DataFrame:
-    """Add the nearest cell of every chunk; write partitioned by ``cell`` to prune scans."""
+    """Add the nearest cell of every chunk; write partitioned by ``cell`` to prune scans.
+
+    Chunks whose vector has no direction or another width are left out, as no search finds them.
+    """
 
     @F.pandas_udf("int")
     def cell_of(vectors: pd.Series) -> pd.Series:
         matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
         return pd.Series(np.argmax(matrix @ index.centroids.T, axis=1).astype(np.int32))
 
-    return chunks.filter(F.col("embedding").isNotNull()).withColumn("cell", cell_of("embedding"))
+    usable = has_direction("embedding", index.centroids.shape[1])
+    return chunks.filter(usable).withColumn("cell", cell_of("embedding"))
 
 
 def ann_join(
@@ -72,14 +83,16 @@ def ann_join(
     """Like the exact join, but each question scores only its ``probes`` nearest cells.
 
     Only cells that some question probes are read. Questions beyond the
-    broadcast limit meet the chunks of their cells block by block.
+    broadcast limit meet the chunks of their cells block by block. A question
+    whose vector failed or has another width has no hits.
     """
+    width = index.centroids.shape[1]
     asked = stored(
         with_defaults(questions, cfg).select(
             F.col("question_id").cast("string").alias("question_id"), "q_vec", "pool", "top_k", *SCOPES
         ),
         "questions",
-    )
+    ).filter(has_direction("q_vec", width))
     names = ["document_id", "chunk_index", "embedding", "cell"]
     names += [n for n in ("collection", "user_id") if n in celled.columns]
     narrow = celled.select(*names).withColumn("chunk_index", F.col("chunk_index").cast("int"))
@@ -98,7 +111,8 @@ def ann_join(
         return rank_hits(best_rows_by_blocks(narrow, probing, cfg, None), asked, cfg)
 
     rows = asked.toPandas()
-    mask = index.nearest(np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]]), probes)
+    vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]]).reshape(len(rows), width)
+    mask = index.nearest(vectors, probes)
     rows["cells"] = list(mask)
     probed = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
     block = celled.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(rows)))

@@ -85,10 +85,16 @@ def release_in_order(arrived: DataFrame, keys: Sequence[str], seq: str, failed:
 
     A number is the end of the gap-free prefix when its successor has not
     arrived. Looking for successors is a join on (key, number), which is unique,
-    so a long stream spreads over all tasks.
+    so a long stream spreads over all tasks. Of a repeated number the row that did
+    not fail wins, then the least by the other columns in their order.
     """
     keys = list(keys)
-    rows = arrived.filter(F.col(seq) >= 1).dropDuplicates([*keys, seq])
+    place = [*keys, seq]
+    others = [c for c in arrived.columns if c not in place]
+    bad = F.coalesce(F.col(failed), F.lit(True)).alias("_bad")
+    winner = F.min(F.struct(bad, *[F.col(c) for c in others])).alias("_row")
+    rows = arrived.filter(F.col(seq) >= 1).groupBy(*place).agg(winner)
+    rows = rows.select(*[F.col(c) if c in place else F.col("_row").getField(c).alias(c) for c in arrived.columns])
     has_next = rows.select(*keys, (F.col(seq) - 1).alias(seq))
     numbers = rows.select(*keys, seq).unionByName(
         rows.groupBy(*keys).agg(F.lit(0).cast("bigint").alias(seq))

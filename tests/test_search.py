@@ -271,3 +271,22 @@ def test_ann_recall_and_subset(spark):
     assert recall(some, exact) > 0.85
     tight = EngineConfig(pool_size=6, top_k=6, broadcast_bytes=64 * 8 * 30, chunk_block_bytes=64 * 4 * 20)
     assert found(ann_join(celled, questions, index, tight, probes=8)) == found(some)
+
+
+def test_ann_survives_bad_vectors(spark):
+    """Vectors without a direction or of another width are neither trained on, found, nor searched for."""
+    good = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]
+    bad = [None, [], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [1.0, 2.0, 3.0]]
+    rows = [(f"d{i}", 0, v) for i, v in enumerate(good + bad)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_index int, embedding array<float>")
+    cfg = EngineConfig(pool_size=3, top_k=3)
+    index = train_cells(chunks, n_cells=2, dim=2)
+    celled = assign_cells(chunks, index)
+    assert sorted(r["document_id"] for r in celled.collect()) == ["d0", "d1", "d2"]
+    asked = [(f"q{i}", v) for i, v in enumerate([[1.0, 0.0], *bad])]
+    questions = spark.createDataFrame(asked, "question_id string, q_vec array<float>")
+    for limit in (cfg.broadcast_bytes, 1):
+        own = EngineConfig(pool_size=3, top_k=3, broadcast_bytes=limit)
+        hits = ann_join(celled, questions, index, own, probes=2).collect()
+        assert sorted((r["question_id"], r["document_id"]) for r in hits) == [("q0", "d0"), ("q0", "d1"), ("q0", "d2")]
+        assert ann_join(celled, questions.limit(0), index, own, probes=2).count() == 0

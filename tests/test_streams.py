@@ -145,6 +145,12 @@ def test_release_in_order(spark):
     df = spark.createDataFrame(rows, RESULTS)
     got = {(r["stream_id"], r["seq"], r["payload"]) for r in release_in_order(df, ["stream_id"], "seq", "failed").collect()}
     assert got == {("s", 1, "a"), ("s", 2, "b"), ("s", 4, "d")}
+    # Repeated numbers: a result beats a failure, then the least payload wins.
+    again = rows + [("s", 1, "A", True), ("s", 2, "B", False), ("s", 3, "z", False)]
+    for n in (1, 5):
+        df = spark.createDataFrame(again, RESULTS).repartition(n)
+        won = sorted((r["seq"], r["payload"]) for r in release_in_order(df, ["stream_id"], "seq", "failed").collect())
+        assert won == [(1, "a"), (2, "B"), (3, "z"), (4, "d")]
     rows = result_rows(1)
     df = spark.createDataFrame(rows, RESULTS)
     got = {(r["stream_id"], r["seq"], r["payload"]) for r in release_in_order(df, ["stream_id"], "seq", "failed").collect()}
