@@ -60,26 +60,10 @@ def job_log(entries: DataFrame) -> DataFrame:
     )
 
 
-def active_runs(documents: DataFrame) -> DataFrame:
-    """(document_id, run_id) of completed documents."""
-    return documents.filter(F.col("status") == "completed").select(
-        "document_id", F.col("active_run_id").alias("run_id")
-    )
-
-
-def visible_runs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks of the active run of completed documents.
-
-    A replaced or half-written run has other run ids and is never seen; a failed
-    document keeps its old chunks but hides them by its status.
-    """
-    return chunks.join(active_runs(documents), ["document_id", "run_id"])
-
-
-def stale_runs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks no registry row points to any more; safe to purge."""
-    active = documents.select("document_id", F.col("active_run_id").alias("run_id"))
-    return chunks.join(active, ["document_id", "run_id"], "left_anti")
+def stale_rows(rows: DataFrame, documents: DataFrame, pointer: str = "active_attempt") -> DataFrame:
+    """Rows in attempts that no registry row points to any more; safe to purge."""
+    pairs = documents.select("document_id", F.col(pointer).alias("attempt"))
+    return rows.join(pairs, ["document_id", "attempt"], "left_anti")
 
 
 def apply_run(documents: DataFrame, outcome: DataFrame, run_id: str) -> DataFrame:

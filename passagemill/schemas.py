@@ -17,9 +17,24 @@ DOCUMENTS = T.StructType([
     T.StructField("collection", T.StringType()),
     T.StructField("metadata", T.StringType(), False),
     T.StructField("active_run_id", T.StringType()),
+    T.StructField("active_attempt", T.StringType()),
+    T.StructField("original_attempt", T.StringType()),
     T.StructField("created_at", T.TimestampType(), False),
     T.StructField("updated_at", T.TimestampType(), False),
+    T.StructField("step", T.IntegerType(), False),
+    T.StructField("deleted", T.BooleanType()),
     T.StructField("run_id", T.StringType(), False),
+    T.StructField("attempt", T.StringType(), False),
+])
+
+ORIGINALS = T.StructType([
+    T.StructField("document_id", T.StringType(), False),
+    T.StructField("filename", T.StringType()),
+    T.StructField("mime", T.StringType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("content", T.BinaryType()),
+    T.StructField("run_id", T.StringType(), False),
+    T.StructField("attempt", T.StringType(), False),
 ])
 
 MARKDOWN = T.StructType([
@@ -30,6 +45,7 @@ MARKDOWN = T.StructType([
     T.StructField("markdown_text", T.StringType()),
     T.StructField("error", T.StringType()),
     T.StructField("run_id", T.StringType(), False),
+    T.StructField("attempt", T.StringType(), False),
 ])
 
 CHUNKS = T.StructType([
@@ -47,6 +63,7 @@ CHUNKS = T.StructType([
     T.StructField("metadata", T.StringType(), False),
     T.StructField("created_at", T.TimestampType(), False),
     T.StructField("run_id", T.StringType(), False),
+    T.StructField("attempt", T.StringType(), False),
 ])
 
 JOB_LOG = T.StructType([
@@ -56,6 +73,7 @@ JOB_LOG = T.StructType([
     T.StructField("at", T.TimestampType(), False),
     T.StructField("error_message", T.StringType()),
     T.StructField("run_id", T.StringType(), False),
+    T.StructField("attempt", T.StringType(), False),
 ])
 
 CITATION = T.StructType([

@@ -40,19 +40,17 @@ def store_path(cfg: EngineConfig, document_id: Column, filename: Column) -> Colu
     return F.concat(F.lit(f"{cfg.storage_root}/originals/"), document_id, F.lit("__"), basename(filename))
 
 
-def markdown_path(cfg: EngineConfig, document_id: Column) -> Column:
-    return F.concat(F.lit(f"{cfg.storage_root}/markdown/"), document_id, F.lit(".md"))
-
-
-def register(files: DataFrame, cfg: EngineConfig, key: Column, created_at: Column) -> DataFrame:
+def register(files: DataFrame, cfg: EngineConfig, key: Column | None, created_at: Column) -> DataFrame:
     """Registry rows for accepted files.
 
     ``files`` has filename, mime and optional user_id and collection. The id is
-    a hash of ``key``, so registering the same upload twice gives the same row.
+    a hash of ``key``, so registering the same upload twice gives the same row;
+    without a key it is the column document_id.
     The raw content type and the full file name are kept.
     """
     name = F.when(present(F.col("filename")), F.col("filename")).otherwise(F.lit(UNNAMED_FILE))
-    rows = files.withColumn("document_id", stable_id(key)).withColumn("original_filename", name)
+    document_id = F.col("document_id") if key is None else stable_id(key)
+    rows = files.withColumn("document_id", document_id).withColumn("original_filename", name)
 
     def optional(column: str) -> Column:
         return empty_to_null(F.col(column)) if column in files.columns else F.lit(None).cast("string")

@@ -13,6 +13,7 @@ from passagemill.operators import lifecycle as life
 from passagemill.operators import registry as reg
 from passagemill.operators.validate import check_list_limit, check_questions, check_uploads
 from passagemill.plans.ingest import ingest_files, run_ingest
+from passagemill.plans.upkeep import compact, delete_documents, purge, reprocess
 from passagemill.sources.files import register
 from passagemill.sources.tables import Tables
 
@@ -41,35 +42,54 @@ def test_runs_replace_and_fail_alone(spark, tmp_path):
     tables = Tables(spark, str(tmp_path)).create_if_missing().create_if_missing()
     docs = registered(spark, ["a", "b", "x", "blank"])
     texts = {"a": ("one", None), "b": ("two", None), "x": (None, "e" * 2000), "blank": (" \n", None)}
-    run_ingest(tables, docs, markdown(spark, docs, texts), CFG, "r1", TS)
+    run_ingest(tables, docs, markdown(spark, docs, texts), CFG, "r1")
     assert seen(tables) == [("a.pdf", "r1", "one"), ("b.pdf", "r1", "two")]
     state = {r["original_filename"]: r for r in tables.documents().collect()}
     assert state["x.pdf"]["status"] == "failed" and state["x.pdf"]["error_message"] == "e" * 1000
     assert state["blank.pdf"]["error_message"] == "no text could be read from the file"
-    assert state["a.pdf"]["markdown_storage_path"].endswith(".md") and state["x.pdf"]["markdown_storage_path"] is None
+    assert state["a.pdf"]["markdown_storage_path"].startswith(str(tmp_path / "markdown" / "attempt=")) and state["x.pdf"]["markdown_storage_path"] is None
 
-    # The same run again replaces itself.
-    run_ingest(tables, docs, markdown(spark, docs, texts), CFG, "r1", TS)
-    assert tables.read("chunks").count() == 2
+    # The same run again is another attempt, which takes the place of the first.
+    first = seen(tables)
+    run_ingest(tables, docs, markdown(spark, docs, texts), CFG, "r1")
+    assert tables.read("chunks").count() == 4 and seen(tables) == first
 
     # A new run replaces a, fails b (old chunks hidden, not lost) and repairs x.
     again = tables.documents()
     texts = {"a": ("new", None), "b": (None, "gone"), "x": ("late", None)}
     again = again.filter(F.col("original_filename") != "blank.pdf")
-    run_ingest(tables, again, markdown(spark, again, texts), CFG, "r2", TS.replace(day=2))
+    run_ingest(tables, again, markdown(spark, again, texts), CFG, "r2")
     assert seen(tables) == [("a.pdf", "r2", "new"), ("x.pdf", "r2", "late")]
-    assert tables.read("chunks").filter("content = 'two'").count() == 1
-    assert [r["content"] for r in life.stale_runs(tables.read("chunks"), tables.documents()).collect()] == ["one"]
+    # The old chunks of b are hidden, not lost; those of replaced attempts are stale.
+    stale = life.stale_rows(tables.read("chunks"), tables.documents()).collect()
+    assert sorted(r["content"] for r in stale) == ["one", "one", "two"]
 
-    # A run that died before the registry was written is not seen.
-    half = tables.read_run("chunks", "r2").withColumn("content", F.lit("half"))
-    tables.write("chunks", "r3", half)
+    # An attempt that died after its chunks: its documents are at work, nothing of it is seen.
+    died = tables.begin()
+    tables.write("chunks", died, "r2", tables.read("chunks").withColumn("content", F.lit("half")))
+    assert [r[2] for r in seen(tables)] == ["new", "late"]
+    only_a = tables.documents().filter("original_filename = 'a.pdf'")
+    tables.write("documents", died, "r2", only_a.withColumn("status", F.lit("processing")).withColumn("step", F.lit(1)))
+    assert [r[2] for r in seen(tables)] == ["late"]
+    run_ingest(tables, again, markdown(spark, again, texts), CFG, "r2")
     assert [r[2] for r in seen(tables)] == ["new", "late"]
-    by_registry = life.visible_runs(tables.read("chunks"), tables.documents())
-    assert sorted(r["content"] for r in by_registry.collect()) == ["late", "new"]
 
     jobs = life.job_log(tables.read("jobs"))
-    assert {r["status"]: r["count"] for r in jobs.groupBy("status").count().collect()} == {"completed": 4, "failed": 3}
+    assert {r["status"]: r["count"] for r in jobs.groupBy("status").count().collect()} == {"completed": 8, "failed": 6}
+    assert jobs.filter("completed_at > started_at").count() == jobs.count()
+
+    # Deleted documents go at once, their bytes with compacting and purging; the rest stays as it was.
+    before = seen(tables)
+    delete_documents(tables, only_a.unionByName(only_a), "d1")
+    assert seen(tables) == [r for r in before if r[0] != "a.pdf"]
+    left = sorted(map(tuple, tables.documents().select("document_id", "status", "created_at", "updated_at").collect()))
+    attempt = compact(tables, CFG, "c1")
+    purge(tables)
+    assert seen(tables) == [r for r in before if r[0] != "a.pdf"]
+    assert sorted(map(tuple, tables.documents().select("document_id", "status", "created_at", "updated_at").collect())) == left
+    assert tables.attempts("chunks") == [attempt] and tables.attempts("markdown") == [attempt]
+    assert sorted(r["content"] for r in tables.read("chunks").collect()) == ["late", "two"]
+    assert tables.read("documents").filter("original_filename = 'a.pdf' and not deleted").count() == 0
 
 
 def test_model_failure_stays_with_its_document(spark, tmp_path):
@@ -82,7 +102,7 @@ def test_model_failure_stays_with_its_document(spark, tmp_path):
     tables = Tables(spark, str(tmp_path)).create_if_missing()
     docs = registered(spark, ["good", "bad"])
     texts = {"good": ("fine " * 3000, None), "bad": ("fine " * 600 + "poison " + "fine " * 600, None)}
-    run_ingest(tables, docs, markdown(spark, docs, texts), CFG, "r1", TS, lambda: Picky(16))
+    run_ingest(tables, docs, markdown(spark, docs, texts), CFG, "r1", lambda: Picky(16))
     state = {r["original_filename"]: (r["status"], r["error_message"]) for r in tables.documents().collect()}
     assert state == {"good.pdf": ("completed", None), "bad.pdf": ("failed", "bad input")}
     vectors = tables.visible_chunks(CFG).select("embedding").collect()
@@ -109,7 +129,7 @@ def test_ingest_files_from_a_folder(spark, tmp_path):
 
     cfg = EngineConfig(embedding_dim=16, max_upload_mb=1)
     tables = Tables(spark, str(tmp_path / "t")).create_if_missing()
-    rejected = ingest_files(tables, str(tmp_path / "box"), cfg, make_parser, "r1", TS)
+    rejected = ingest_files(tables, str(tmp_path / "box"), cfg, make_parser, "r1")
     assert {(r["filename"], r["reject_code"]) for r in rejected.collect()} == {("c.txt", 415), ("d.pdf", 413)}
     state = {r["original_filename"]: r["status"] for r in tables.documents().collect()}
     assert state == {"a.pdf": "completed", "b.PNG": "completed", "e.pdf": "failed"}
@@ -118,6 +138,35 @@ def test_ingest_files_from_a_folder(spark, tmp_path):
     ]
 
 
+def test_folder_again_and_reprocessing(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    (box / "a.pdf").write_text("good")
+    (box / "b.pdf").write_text("other")
+    working = lambda: lambda content: [bytes(content).decode()]
+
+    def broken():
+        def parse(content):
+            raise RuntimeError("no service")
+
+        return parse
+
+    tables = Tables(spark, str(tmp_path / "t")).create_if_missing()
+    ingest_files(tables, str(box), CFG, working, "r1", clock=lambda: TS)
+    first = {r["document_id"]: r for r in tables.documents().collect()}
+    ingest_files(tables, str(box), CFG, broken, "r2")
+    for r in tables.documents().collect():
+        old = first[r["document_id"]]
+        assert r["status"] == "failed" and (r["created_at"], r["active_attempt"]) == (old["created_at"], old["active_attempt"])
+    assert seen(tables) == []
+    (box / "a.pdf").write_text("changed on disk only")
+    one = tables.documents().filter("original_filename = 'a.pdf'")
+    reprocess(tables, CFG, working, "r3", one)
+    assert seen(tables) == [("a.pdf", "r3", "good")]
+    reprocess(tables, CFG, working, "r4")
+    assert seen(tables) == [("a.pdf", "r4", "good"), ("b.pdf", "r4", "other")]
+
+
 def test_upload_rules(spark):
     mb50 = 50 * 1024 * 1024
     rows = [("Application/PDF", 1, None), (None, 1, 415), ("text/plain", mb50 + 1, 415), ("application/pdf", mb50, None), ("application/pdf", mb50 + 1, 413)]

@@ -316,18 +316,18 @@ FROM embeddings"""
 # Runs -----------------------------------------------------------------------
 
 
-def _registered(spark: SparkSession, sf: str) -> DataFrame:
+def registered_rows(spark: SparkSession, sf: str) -> DataFrame:
     return st.registry(spark, sf).withColumn("active_run_id", F.lit(None).cast("string"))
 
 
-def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+def parsed_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Document texts as parser output; documents of bad quality could not be read."""
     bad = st.registry(spark, sf).select("document_id", F.col("error_message").alias("error"))
     texts = st.document_texts(spark, sf).join(bad, "document_id")
     return texts.select("document_id", F.when(F.col("error").isNull(), F.col("markdown")).alias("markdown"), "error")
 
 
-def _summary(tables: Tables) -> DataFrame:
+def run_summary(tables: Tables) -> DataFrame:
     chunks = tables.visible_chunks(CFG).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum("token_count").alias("tokens"),
@@ -350,8 +350,8 @@ FROM registry r LEFT JOIN (
 
 def ingest_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     tables = Tables(spark, new_run_dir(spark, "ingest")).create_if_missing()
-    run_ingest(tables, _registered(spark, sf), _parsed(spark, sf), CFG, "r1", RUN_TS)
-    return _summary(tables)
+    run_ingest(tables, registered_rows(spark, sf), parsed_texts(spark, sf), CFG, "r1")
+    return run_summary(tables)
 
 
 def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -360,7 +360,7 @@ def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
     tables = Tables(spark, root).create_if_missing()
     schema = table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    known = _registered(spark, sf)
+    known = registered_rows(spark, sf)
     unreadable = known.select("document_id", F.col("error_message").alias("error"))
 
     def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,9 +370,9 @@ def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
         markdown = F.when(F.col("error").isNull(), F.col("markdown")).alias("markdown")
         return registered, joined.select("document_id", markdown, "error")
 
-    query = stream_ingest(arriving, split, tables, CFG, RUN_TS, f"{root}/checkpoint")
+    query = stream_ingest(arriving, split, tables, CFG, f"{root}/checkpoint")
     query.awaitTermination()
-    return _summary(tables)
+    return run_summary(tables)
 
 
 class ShortTextsOnly(HashedWords):
@@ -408,7 +408,7 @@ def ingest_failures(spark: SparkSession, sf: str) -> DataFrame:
         return parse
 
     markdown = document_markdown(parse_files(files, make_parser))
-    run_ingest(tables, registered, markdown, CFG, "r1", RUN_TS, lambda: ShortTextsOnly(CFG.embedding_dim))
+    run_ingest(tables, registered, markdown, CFG, "r1", lambda: ShortTextsOnly(CFG.embedding_dim))
     return tables.documents().select("document_id", "status", "error_message")
 
 
@@ -440,10 +440,10 @@ def replaced_chunks(spark: SparkSession, sf: str) -> DataFrame:
     The German ones of bad quality fail: their old chunks stay but are hidden.
     """
     tables = Tables(spark, new_run_dir(spark, "replace")).create_if_missing()
-    run_ingest(tables, _registered(spark, sf), st.document_texts(spark, sf).withColumn("error", F.lit(None).cast("string")).drop("original_filename"), CFG, "r1", RUN_TS)
+    run_ingest(tables, registered_rows(spark, sf), st.document_texts(spark, sf).withColumn("error", F.lit(None).cast("string")).drop("original_filename"), CFG, "r1")
     again = tables.documents().filter(F.col("user_id").isin("fr", "de"))
-    texts = _parsed(spark, sf).join(again.select("document_id"), "document_id", "left_semi")
-    run_ingest(tables, again, texts, SMALL, "r2", RUN_TS.replace(day=2))
+    texts = parsed_texts(spark, sf).join(again.select("document_id"), "document_id", "left_semi")
+    run_ingest(tables, again, texts, SMALL, "r2")
     rows = tables.visible_chunks(CFG).groupBy("document_id", "run_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens")
     )
