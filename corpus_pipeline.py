@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, decontam, pseudonym, quality, simhash
+from passagemill.llm import bpe, decontam, pseudonym, quality, similar
 from passagemill.llm.queries import PSEUDONYM_KEY, byte_bpe_path
 from passagemill.llm.shared import stored, table
 
@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each class of near duplicates: 5-word shingles, similarity 0.8."""
+    return similar.one_of_each(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
