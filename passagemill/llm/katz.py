@@ -2,9 +2,9 @@
 
 The documents are worked through in blocks. A block sends its distinct words and word pairs with
 their counts to buckets of key ranges; a bucket adds them up, gives the totals back to the
-blocks in key order, and writes the word table. Pairs that occur at least twice make the
-model's second order; one of their blocks writes each of them. Joins with the word table and sums by
-context give the weights. Every context's probabilities add up to one: what the discounted
+blocks in key order. Pairs that occur often enough (``least_pairs``) make the
+model's second order; one of their blocks adds each of them to its context's sums, which a block
+has the counts for, and the blocks' sums together give the weights. Every context's probabilities add up to one: what the discounted
 pairs leave is shared among the other words in proportion to the word model, whose own remainder
 is that of the unknown word.
 """
@@ -68,12 +68,6 @@ class WordModel:
             return WordModel(tokens, types, factor, 1.0, left)
         return WordModel(tokens, types, factor, tokens / (tokens + 1), 1 / (tokens + 1))  # no rare word: one more token is thought of
 
-    def column(self, count: Column) -> Column:
-        f = F.lit(1.0)
-        for r, d in enumerate(self.factor):
-            f = F.when(count == r, d).otherwise(f)
-        return F.when(count > 0, f * count / max(1, self.tokens) * self.scale).otherwise(self.unknown)
-
     def array(self, count: np.ndarray) -> np.ndarray:
         f = np.array([*self.factor, 1.0])[np.minimum(count, len(self.factor))]
         return np.where(count > 0, f * count / max(1, self.tokens) * self.scale, self.unknown)
@@ -131,12 +125,12 @@ def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 _SENT = "bucket int, block int, words binary, word_n binary, pairs binary, pair_n binary"
 _BACK = (
     "kind string, bucket int, block int, words binary, word_n binary, pair_n binary, owns binary, "
-    "word long, n long, rank int, word_types long, pair_types long, tokens long"
+    "n long, rank int, word_types long, pair_types long, tokens long"
 )
 
 
 def _exchange(blocks: DataFrame, bits: int, rule: KatzRule) -> DataFrame:
-    """Totals of all blocks: rows of kind ``back`` (per block and bucket), ``word`` (the word table) and ``stat`` (counts of counts)."""
+    """Totals of all blocks: rows of kind ``back`` (per block and bucket) and ``stat`` (counts of counts)."""
 
     def ask(part: pa.Table) -> pa.Table:
         trains = part["trains"].to_numpy()
@@ -154,7 +148,7 @@ def _exchange(blocks: DataFrame, bits: int, rule: KatzRule) -> DataFrame:
 
     def answer(part: pa.Table) -> pa.Table:
         words, pairs = _numbers(part["words"], np.uint64), _numbers(part["pairs"], np.uint64)
-        table, total, word_n, _ = _total(words, _numbers(part["word_n"], np.uint32))
+        _, total, word_n, _ = _total(words, _numbers(part["word_n"], np.uint32))
         _, all_pairs, pair_n, owns = _total(pairs, _numbers(part["pair_n"], np.uint32))
         wcut, pcut = np.cumsum([0, *map(len, words)]), np.cumsum([0, *map(len, pairs)])
         # a count that the model does not keep travels as 0
@@ -169,7 +163,6 @@ def _exchange(blocks: DataFrame, bits: int, rule: KatzRule) -> DataFrame:
             "owns": [np.packbits(owns[a:b]).tobytes() for a, b in zip(pcut, pcut[1:])],
         }
         known = total > 0
-        own = {"kind": ["word"] * int(known.sum()), "word": table[known].view(np.int64), "n": total[known]}
         ranks = np.arange(1, rule.trusted + 2)
         stat = {
             "kind": ["stat"] * len(ranks), "rank": ranks,
@@ -177,10 +170,10 @@ def _exchange(blocks: DataFrame, bits: int, rule: KatzRule) -> DataFrame:
             "n": [known.sum() if r == 1 else 0 for r in ranks], "tokens": [total.sum() if r == 1 else 0 for r in ranks],
         }
         schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("word_n", pa.binary()),
-                            ("pair_n", pa.binary()), ("owns", pa.binary()), ("word", pa.int64()), ("n", pa.int64()), ("rank", pa.int32()),
+                            ("pair_n", pa.binary()), ("owns", pa.binary()), ("n", pa.int64()), ("rank", pa.int32()),
                             ("word_types", pa.int64()), ("pair_types", pa.int64()), ("tokens", pa.int64())])
         tables = []
-        for cols in (back, own, stat):
+        for cols in (back, stat):
             n = len(cols["kind"])
             tables.append(pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema))
         return pa.concat_tables(tables)
@@ -269,36 +262,34 @@ def _contexts(base: DataFrame, totals: DataFrame, bits: int, model: WordModel, f
     0 stands for a context without kept pairs; a negative weight for one that left nothing.
     """
 
+    f = np.array([0.0, *factor.values(), 1.0])
+
     def kept(part: pa.Table, back: pa.Table) -> pa.Table:
-        cols = (np.zeros(0, np.int64),) * 3
+        cols = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
         if part.num_rows:
             learns = part["trains"].to_numpy()
             words, number, row, _ = _tokens(part["text"], learns)
             keys, _, _, left, right = _pairs(words, number, row, learns)
             edge = cuts(keys, bits)
-            n = _joined(back, "pair_n", np.uint32, len(keys), edge)
+            n = _joined(back, "pair_n", np.uint32, len(keys), edge).astype(np.int64)
+            word_n = _joined(back, "word_n", np.uint64, len(words), cuts(words, bits)).astype(np.int64)
             owns = np.zeros(len(keys), bool)
             for bucket, raw in zip(back["bucket"].to_pylist(), back["owns"].to_pylist()):
                 lo, hi = edge[bucket], edge[bucket + 1]
                 owns[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(hi - lo)).astype(bool)
             at = np.flatnonzero(owns & (n > 0))
-            cols = words[left[at]].view(np.int64), words[right[at]].view(np.int64), n[at].astype(np.int64)
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["context", "word", "c"])
-
-    asked = totals.where("kind = 'back'").select("block", "bucket", "pair_n", "owns")
-    pairs = stored(base.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(kept, "context long, word long, c long"), "pairs")
-    finished(base.sparkSession)
-    words = totals.where("kind = 'word'").select("word", "n")
-    f = F.lit(1.0)
-    for r, d in factor.items():
-        f = F.when(F.col("c") == r, d).otherwise(f)
-    sums = (
-        pairs.join(words, "word")
-        .groupBy("context")
-        .agg(F.sum(f * F.col("c")).alias("taken"), F.sum(model.column(F.col("n"))).alias("covered"))
-    )
+            taken = np.bincount(left[at], weights=f[np.minimum(n[at], len(f) - 1)] * n[at], minlength=len(words))
+            covered = np.bincount(left[at], weights=model.array(word_n[right[at]]), minlength=len(words))
+            own = np.unique(left[at])
+            cols = words[own], taken[own], covered[own], word_n[own]
+        kinds = pa.int64(), pa.float64(), pa.float64(), pa.int64()
+        cols = cols[0].view(np.int64), *cols[1:]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["context", "taken", "covered", "n"])
+
+    asked = totals.where("kind = 'back'").select("block", "bucket", "word_n", "pair_n", "owns")
+    shares = base.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(kept, "context long, taken double, covered double, n long")
+    sums = shares.groupBy("context").agg(F.sum("taken").alias("taken"), F.sum("covered").alias("covered"), F.max("n").alias("n"))
     begin = int(BEGIN.view(np.int64))
-    sums = sums.join(words.select(F.col("word").alias("context"), "n"), "context", "left")
     n = F.when(F.col("context") == begin, begins).otherwise(F.col("n"))
     left = 1 - F.col("taken") / n
     rest = F.greatest(1 - F.col("covered"), F.lit(1e-300))
@@ -324,6 +315,5 @@ def _contexts(base: DataFrame, totals: DataFrame, bits: int, model: WordModel, f
 
     sent = totals.where("kind = 'back'").select("bucket", "block", "words")
     given = stored(sent.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(give, "block int, bucket int, alpha binary"), "alphas")
-    drop_stored(pairs)
     drop_stored(weights)
     return given

@@ -17,6 +17,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Pairs seen once are part of the model.
+ALL_PAIRS = katz.KatzRule(least_pairs=1)
+
+
 def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -45,7 +49,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = katz.score_documents(table(spark, sf_dir, "documents"), remainder(10) != 0)
+    scored = katz.score_documents(table(spark, sf_dir, "documents"), remainder(10) != 0, ALL_PAIRS)
     return scored.select(
         "doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
