@@ -26,7 +26,27 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+
+
+def _phone_pattern() -> str:
+    """A country's number plan where it has a fixed length, else 8 to 15 digits; the latter ends where another value begins if it can."""
+    plans = {8: "45|47|65", 9: "27|31|33|34|41|48|61", 10: "1|7|30|44|81|90|91", 11: "86"}
+    sign = "[ .()-]{0,2}"
+    # looks back from the end, so the pattern gives groups up until the digits are as many as they may be; a look back repeats no group
+    plan = "|".join(rf"\+(?:{lands})" + f"{sign}[0-9]" * n for n, lands in plans.items())
+    lengths = "|".join(r"\+" + f"{sign}[0-9]" * n for n in range(8, 16))
+    other = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|[0-9]{4}(?: [0-9]{4}){3}(?![0-9])|[0-9]{4}(?:-[0-9]{4}){3}(?![0-9])"
+    head, end = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?", "(?![0-9])"
+    any_length = f"(?<={lengths}){end}"
+    groups = "(?:[ .-]?[0-9]{2,4}){2,4}"
+    return "|".join((
+        f"{head}{groups}(?<={plan}){end}",
+        rf"{head}(?:(?: (?!{other})|[.-]?)[0-9]{{2,4}}){{2,4}}{any_length}",
+        f"{head}{groups}{any_length}",
+    ))
+
+
+PHONE = _phone_pattern()
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])"
 #: In the order in which they are tried at one place.
 PATTERNS = {"mail": MAIL, "iban": IBAN, "address": ADDRESS, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
