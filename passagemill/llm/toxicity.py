@@ -25,6 +25,7 @@ from passagemill.llm.shared import chunks
 _BITS = 20  # of the numbers that words and n-grams hash to
 _GRAMS = (3, 4, 5, 6)  # bytes, with a mark before and after the word
 _EMB, _HIDDEN, _POOL = 8, 8, 8
+_PIECE = 1 << 13  # words whose n-grams are looked up at once
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,9 @@ class ToxicityRule:
     window: int = 32
     step: int = 24
     #: The training sample: labelled toxic and other texts at most; longer texts are not taken.
-    toxic_docs: int = 1000
-    other_docs: int = 2000
-    longest_bytes: int = 8_000
+    toxic_docs: int = 1500
+    other_docs: int = 3000
+    longest_bytes: int = 20_000
     #: Texts that a word or n-gram must stand in to have an embedding of its own.
     least_texts: int = 30
     rounds: int = 4
@@ -59,7 +60,9 @@ class Words:
         for a, b in chunks(np.diff(off), W.CHUNK_BYTES):
             mine = slice(self.bounds[a], self.bounds[b])
             hashes[mine] = W.span_hash(W.prefix(buf[off[a] : off[b]]), starts[mine] - off[a], ends[mine] - off[a])
-        unique, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
+        unique, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
+        del hashes, number, doc
         self.row = (unique >> np.uint64(64 - _BITS)).astype(np.int64)
         size = (ends - starts)[first]
         # each word between two marks
@@ -69,18 +72,17 @@ class Words:
             marked[_expand(at + 1, size)] = buf[_expand(starts[first], size)]
             marked[at + size + 1] = 2
         pre = W.prefix(marked)
-        rows, owners = [], []
-        for n in _GRAMS:
-            count = np.maximum(size + 2 - n + 1, 0)
-            s = _expand(at, count)
-            rows.append((W.span_hash(pre, s, s + n) >> np.uint64(64 - _BITS)).astype(np.int64))
-            owners.append(np.repeat(np.arange(len(size)), count))
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        self.gram = np.concatenate(rows)[order]
-        self.owner = owner[order]
-        self.n_grams = np.bincount(self.owner, minlength=len(size))
+        counts = [np.maximum(size + 2 - n + 1, 0) for n in _GRAMS]
+        self.n_grams = sum(counts)
         self.begin = np.cumsum(self.n_grams) - self.n_grams
+        self.gram = np.empty(int(self.n_grams.sum()), np.int32)
+        for k in range(0, len(size), _PIECE):
+            mine = slice(k, k + _PIECE)
+            place = self.begin[mine].copy()
+            for n, count in zip(_GRAMS, counts):
+                s = _expand(at[mine], count[mine])
+                self.gram[_expand(place, count[mine])] = W.span_hash(pre, s, s + n) >> np.uint64(64 - _BITS)
+                place += count[mine]
 
     def __len__(self) -> int:
         return len(self.row)
@@ -129,6 +131,8 @@ class Network:
     def inputs(self, words: Words, used: np.ndarray | None = None) -> np.ndarray:
         """One row per distinct word, or per word of ``used``."""
         used = np.arange(len(words)) if used is None else used
+        if len(used) > _PIECE:
+            return np.concatenate([self.inputs(words, used[k : k + _PIECE]) for k in range(0, len(used), _PIECE)])
         x = np.zeros((len(used), 2 * _EMB + 2), np.float32)
         if not len(used):
             return x
@@ -185,7 +189,7 @@ class Network:
         none = np.zeros((1, x.shape[1]), np.float32)
         return {side: np.concatenate([x, none]) @ self.p[f"W{side}"] + self.p[f"c{side}"] for side in "fb"}
 
-    def logits(self, words: Words, at: np.ndarray, batch: int = 2048) -> np.ndarray:
+    def logits(self, words: Words, at: np.ndarray, batch: int = 512) -> np.ndarray:
         gates = self.gates(self.inputs(words))
         return np.concatenate([self.forward(gates, at[k : k + batch])[0] for k in range(0, len(at), batch)] or [np.zeros(0)])
 
