@@ -3,8 +3,8 @@
 Three kinds are found by pattern (assignments, access keys, hex strings). A fourth comes from
 entropy: over each long run of key characters a window slides, and the counts of the
 character that enters and of the one that leaves update the Shannon sum; the window's
-entropy is held against the threshold of the run's character class. Runs that an
-allow-list names are suppressed; it never touches what the patterns found.
+entropy is held against the threshold of the run's character class. Windows that touch a piece of a run
+(between ``/`` and ``=``) that an allow-list names are suppressed; it never touches what the patterns found.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"  # the runs of [0-9a-f]+ with 16 or more characters
+_FIRST, _SIGNS = ord("+"), ord("z") - ord("+") + 1  # codes of key characters
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class EntropyRule:
     window: int = 20
     hex_bits: float = 3.0
     mixed_bits: float = 3.7
-    #: Runs holding one of these are no secrets.
+    #: Pieces of runs that hold one of these are no secrets.
     allowed: str = (
         r"(?i)example|sample|dummy|placeholder|changeme|0123456789|abcdefghij|x{8}|(.)\1{7}"
         r"|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
@@ -62,55 +63,88 @@ def _spans(text: Column, pattern: str, found: Column, keep: Column | None, kind:
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
-def _times(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
-
-
 def _gain(count: Column) -> Column:
     """How the sum of c * log2(c) grows when a count grows by one."""
     c = count.cast("double")
     return (c + 1) * F.log2(c + 1) - F.when(c > 0, c * F.log2(c)).otherwise(0.0)
 
 
-def _hot_range(run: Column, rule: EntropyRule) -> Column:
-    """First and last start (from 0) of windows of ``run`` above its class's threshold; nulls if none."""
+def _steps(run: Column, rule: EntropyRule) -> Column:
+    """Per character of a run: the one that enters, the one that leaves the window (null at first), and whether the allow-list has its piece."""
+    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c) - _FIRST)
+    before = F.concat(F.array_repeat(F.lit(None).cast("int"), rule.window), codes)
+    pieces = F.split(run, "(?<=[/=])")
+    named = F.flatten(F.transform(pieces, lambda p: F.array_repeat(F.rtrim(p, F.lit("/=")).rlike(rule.allowed), F.length(p))))
+    moves = F.zip_with(codes, F.slice(before, 1, F.length(run)), lambda e, x: F.struct(e.alias("enters"), x.alias("leaves")))
+    return F.zip_with(moves, named, lambda m, k: F.struct(m["enters"].alias("enters"), m["leaves"].alias("leaves"), k.alias("named")))
+
+
+def _hot_spans(run: Column, rule: EntropyRule) -> Column:
+    """(start, end) of the unions of overlapping windows of ``run`` above its class's threshold.
+
+    The state holds how often each character is in the window and the sum of c * log2(c); a step changes two
+    counts. Windows that touch a piece of the allow-list are none.
+    """
     w = rule.window
     bits = F.when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), rule.hex_bits).otherwise(rule.mixed_bits)
-    most = (F.log2(F.lit(float(w))) - bits) * w  # entropy is log2(w) - sum / w
-    none = F.lit(None).cast("int")
-    zero = F.struct(F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"))
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.substring(run, i, F.lit(1))
-        before = F.when(i > w, F.substring(run, i - w, F.lit(w))).otherwise(F.substring(run, F.lit(1), i - 1))
-        leaves = F.substring(run, i - w, F.lit(1))
-        stay = F.when(i > w, F.substring(run, i - w + 1, F.lit(w - 1))).otherwise(before)
-        total = state["sum"] - F.when(i > w, _gain(_times(stay, leaves))).otherwise(0.0) + _gain(_times(stay, enters))
-        hot = (i >= w) & (total <= most + 1e-9)
-        return F.struct(
-            total.alias("sum"),
-            F.coalesce(state["first"], F.when(hot, i - w)).alias("first"),
-            F.coalesce(F.when(hot, i - w), state["last"]).alias("last"),
+    no = F.lit(None).cast("int")
+    zero = F.struct(
+        ((F.log2(F.lit(float(w))) - bits) * w + 1e-9).alias("most"),  # entropy is log2(w) - sum / w
+        F.lit(0.0).alias("sum"), F.array_repeat(F.lit(0), _SIGNS).alias("counts"), F.lit(0).alias("at"), F.lit(0).alias("clear"),
+        no.alias("first"), no.alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+    )
+
+    def closed(state: Column) -> Column:
+        span = F.struct(state["first"].alias("start"), state["last"].alias("end"))
+        return F.when(state["first"].isNull(), state["spans"]).otherwise(F.array_append(state["spans"], span))
+
+    def counted(state: Column, s: Column) -> Column:
+        enters, leaves = s["enters"], s["leaves"]
+        same = enters.eqNullSafe(leaves)
+        out = F.when(leaves.isNull(), 0.0).otherwise(_gain(state["counts"][F.coalesce(leaves, F.lit(0))] - 1))
+        # the leaving character is another one, so the entering one's count is as it was
+        total = F.when(same, state["sum"]).otherwise(state["sum"] - out + _gain(state["counts"][enters]))
+        moved = F.transform(
+            state["counts"],
+            lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k.eqNullSafe(leaves), 1).otherwise(0),
         )
+        return F.struct(
+            state["most"], total.alias("sum"), F.when(same, state["counts"]).otherwise(moved).alias("counts"), (state["at"] + 1).alias("at"),
+            F.when(s["named"], 0).otherwise(state["clear"] + 1).alias("clear"), state["first"], state["last"], state["spans"],
+        )
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def placed(state: Column) -> Column:
+        hot = (state["clear"] >= w) & (state["sum"] <= state["most"])
+        apart = hot & (state["last"].isNull() | (state["at"] - w > state["last"]))
+        return F.struct(
+            state["most"], state["sum"], state["counts"], state["at"], state["clear"],
+            F.when(apart, state["at"] - w).otherwise(state["first"]).alias("first"), F.when(hot, state["at"]).otherwise(state["last"]).alias("last"),
+            F.when(apart, closed(state)).otherwise(state["spans"]).alias("spans"),
+        )
+
+    return F.aggregate(_steps(run, rule), zero, lambda state, s: _once(counted(state, s), placed), closed)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, as the only element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _entropy_spans(text: Column, runs: Column, pattern: str, rule: EntropyRule) -> Column:
     placed = _placed(text, pattern, runs)
     both = F.zip_with(placed, runs, lambda p, r: F.struct(p["start"].alias("start"), r.alias("run")))
     # letters alone are prose, digits alone are numbers
-    both = F.filter(both, lambda b: b["run"].rlike("[0-9]") & b["run"].rlike("[A-Za-z]") & ~b["run"].rlike(rule.allowed))
-    hot = F.transform(both, lambda b: F.struct(b["start"].alias("start"), _hot_range(b["run"], rule).alias("hot")))
-    hot = F.filter(hot, lambda b: b["hot"]["first"].isNotNull())
-    spans = F.transform(
-        hot,
-        lambda b: F.struct(
-            (b["start"] + b["hot"]["first"]).alias("start"),
-            F.lit(KINDS.index("entropy")).alias("kind"),
-            (b["start"] + b["hot"]["last"] + rule.window).alias("end"),
-        ),
-    )
+    both = F.filter(both, lambda b: b["run"].rlike("[0-9]") & b["run"].rlike("[A-Za-z]"))
+
+    def spans_of(b: Column) -> Column:
+        return F.transform(
+            _hot_spans(b["run"], rule),
+            lambda s: F.struct(
+                (b["start"] + s["start"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (b["start"] + s["end"]).alias("end"),
+            ),
+        )
+
+    spans = F.flatten(F.transform(both, spans_of))
     return F.when(F.size(runs) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
