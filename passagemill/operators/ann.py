@@ -1,7 +1,9 @@
 """Approximate search: chunks in cells, each question looks into the nearest cells.
 
 Cells only decide which rows a question scores. Rows of a cell stay where the
-scan finds them, so a crowded cell is read by many tasks.
+scan finds them, so a crowded cell is read by many tasks. A *stored* index keeps its
+centroids and its chunks, written in folders by cell: it is trained once, a search lists and
+reads the probed cells alone, and new chunks are assigned and added without training again.
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..session import is_bounded, stored
-from .search import SCOPES, QuestionBlock, best_rows_by_blocks, best_rows_of, rank_hits, with_defaults
+from .search import SCOPES, QuestionBlock, best_rows_by_blocks, best_rows_of, rank_hits, visible_chunks, with_defaults
 
 
 @dataclass(frozen=True)
@@ -119,6 +121,61 @@ def ann_join(
     return rank_hits(best_rows_of(narrow.filter(F.col("cell").isin(probed)), block, None, cfg), asked, cfg)
 
 
+STORED_COLUMNS = ("document_id", "chunk_index", "embedding", "collection", "user_id")
+
+
+@dataclass(frozen=True)
+class StoredCells:
+    """An index in a folder: ``centroids`` (cell, center) and ``cells``, chunks partitioned by cell.
+
+    The centroids are written last, so a folder without them is no index and a build that died is built again. An
+    append writes new files only; a chunk added twice is found twice, so give every chunk once.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def exists(self) -> bool:
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/centroids/_SUCCESS")
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+    def build(self, chunks: DataFrame, n_cells: int, **training: object) -> StoredCells:
+        """Train on ``chunks`` and write them all; what was in the folder before goes."""
+        index = train_cells(chunks, n_cells, **training)
+        self._write(chunks, index, "overwrite")
+        centers = [(k, c.tolist()) for k, c in enumerate(index.centroids)]
+        self.spark.createDataFrame(centers, "cell int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
+        return self
+
+    def append(self, chunks: DataFrame) -> None:
+        """Add chunks to the cells that are there; nothing is trained or rewritten."""
+        self._write(chunks, self.index(), "append")
+
+    def _write(self, chunks: DataFrame, index: CellIndex, mode: str) -> None:
+        known = [c if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in STORED_COLUMNS]
+        # a crowded cell is shared out: what one task writes of a cell is bounded by the share
+        rows = assign_cells(chunks.select(*known), index)
+        share = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(self.spark.sparkContext.defaultParallelism))
+        rows.repartition("cell", share).write.mode(mode).partitionBy("cell").parquet(f"{self.path}/cells")
+
+    def index(self) -> CellIndex:
+        rows = self.spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()
+        return CellIndex(np.array([r["center"] for r in rows]))
+
+    def celled(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/cells")
+
+    def search(self, questions: DataFrame, cfg: EngineConfig, probes: int, documents: DataFrame | None = None) -> DataFrame:
+        """The ``pool`` nearest chunks in the ``probes`` nearest cells of every question.
+
+        With ``documents`` a chunk is visible if that registry has its document as completed, and takes its scope.
+        """
+        chunks = self.celled()
+        if documents is not None:
+            chunks = visible_chunks(chunks, documents, cfg, ["embedding", "cell"])
+        return ann_join(chunks, questions, self.index(), cfg, probes)
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> float:
     """Share of the exact pool that the approximate search also found."""
     keys = ["question_id", "document_id", "chunk_index"]

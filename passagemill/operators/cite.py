@@ -34,7 +34,8 @@ def prompts(ranked: DataFrame, questions: DataFrame) -> DataFrame:
     """One row per question: citations and prompt, or the fixed answer without hits.
 
     A question gathers at most top_k rows. ``user_prompt`` is null when nothing
-    was found; then ``answer`` is filled and no model call is due.
+    was found; then ``answer`` is filled and no model call is due. A question that
+    has an ``error`` was not searched for: it gets neither, and keeps its error.
     """
     rows = with_sources(ranked).select(
         "question_id", F.struct("n", citation_struct().alias("citation"), "source_block").alias("row")
@@ -47,11 +48,13 @@ def prompts(ranked: DataFrame, questions: DataFrame) -> DataFrame:
     no_citation = F.array().cast("array<struct<n:int,document_id:string,filename:string,page_number:int,heading:string,score:double>>")
     voice = F.col("voice") if "voice" in questions.columns else F.lit(False)
     lang = F.col("lang") if "lang" in questions.columns else F.lit(None).cast("string")
+    error = F.col("error") if "error" in questions.columns else F.lit(None).cast("string")
     return joined.select(
         "question_id",
         "question",
         F.coalesce(_in_order(F.col("rows"), "citation"), no_citation).alias("citations"),
         F.when(F.col("rows").isNotNull(), wording.user_prompt(F.col("question"), blocks)).alias("user_prompt"),
         wording.system_prompt(voice, lang).alias("system_prompt"),
-        F.when(F.col("rows").isNull(), F.lit(wording.NO_HITS_ANSWER)).alias("answer"),
+        F.when(F.col("rows").isNull() & error.isNull(), F.lit(wording.NO_HITS_ANSWER)).alias("answer"),
+        error.alias("error"),
     )

@@ -20,8 +20,8 @@ def assemble_answers(deltas: DataFrame, key: str = "question_id") -> DataFrame:
 def answer_events(inputs: DataFrame, deltas: DataFrame, errors: DataFrame) -> DataFrame:
     """The event rows of every question, in (question_id, seq).
 
-    ``inputs``: question_id, citations and answer (the fixed answer without
-    hits). ``deltas``: question_id, seq, text of captured model output, empty
+    ``inputs``: question_id, citations, answer (the fixed answer without
+    hits) and optionally error (the question was not searched for, like a retrieval error). ``deltas``: question_id, seq, text of captured model output, empty
     texts ignored. ``errors``: question_id, stage ('retrieval' or 'model') and
     message.
 
@@ -34,6 +34,9 @@ def answer_events(inputs: DataFrame, deltas: DataFrame, errors: DataFrame) -> Da
         F.max(F.when(F.col("stage") == "retrieval", F.col("message"))).alias("_early"),
         F.max(F.when(F.col("stage") == "model", F.col("message"))).alias("_late"),
     )
+    if "error" in inputs.columns:
+        own = inputs.filter(F.col("error").isNotNull()).select("question_id", F.col("error").alias("_early"), F.lit(None).cast("string").alias("_late"))
+        stages = stages.unionByName(own).groupBy("question_id").agg(F.max("_early").alias("_early"), F.max("_late").alias("_late"))
     called = inputs.filter(F.col("answer").isNull()).select("question_id")
     refused = stages.filter(F.col("_early").isNotNull()).select("question_id")
     spoken = (

@@ -17,6 +17,22 @@ from ..session import broadcast_if_bounded, stored
 DETAILS = ("page_number", "heading", "content")
 
 
+def with_errors(questions: DataFrame) -> DataFrame:
+    """Add ``error``: why a question can have no search, else null.
+
+    ``questions`` has q_vec and, from ``embed_questions``, embed_error.
+    """
+    if "top_k" not in questions.columns:
+        questions = questions.withColumn("top_k", F.lit(None).cast("int"))
+    vector = F.col("q_vec")
+    unknown = vector.isNull() | (F.size(vector) < 1) | F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    cause = F.col("embed_error") if "embed_error" in questions.columns else F.lit(None).cast("string")
+    failed = F.concat(F.lit("embedding failed: "), F.coalesce(cause, F.lit("no usable vector")))
+    reason = F.concat(F.lit("invalid question: "), F.col("reason"))
+    checked = check_questions(questions)
+    return checked.withColumn("error", F.coalesce(reason, F.when(unknown, failed))).drop("reason")
+
+
 def gated_pool(questions: DataFrame, chunks: DataFrame, documents: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Scope, score, pool and gate; then content and file name for the survivors.
 
@@ -65,5 +81,10 @@ def answer_inputs(
     cfg: EngineConfig,
     scorer: Callable[[Column, Column], Column] | None = lexical_score,
 ) -> DataFrame:
-    """One row per question: citations, prompts, or the fixed answer."""
-    return prompts(retrieve(questions, chunks, documents, cfg, scorer), questions)
+    """One row per question: citations, prompts, the fixed answer, or an error.
+
+    A question that fails its check and one whose embedding failed get ``error`` and neither prompt nor answer: only a
+    search that ran can say that nothing was found. Vectors are computed once, here.
+    """
+    asked = stored(with_errors(questions), "asked")
+    return prompts(retrieve(asked.filter(F.col("error").isNull()), chunks, documents, cfg, scorer), asked)

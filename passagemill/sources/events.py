@@ -47,26 +47,32 @@ def data_field(line: Column) -> Column:
     return F.when(line.startswith("data:"), strip(F.substring(line, 6, 2**31 - 1)))
 
 
-def sse_deltas(lines: DataFrame, provider: str = "provider") -> DataFrame:
-    """Text deltas of captured response streams, in (stream_id, seq).
+def sse_parts(lines: DataFrame, provider: str = "provider") -> DataFrame:
+    """Every captured line with its delta ``text`` (null if it has none) and whether it ``ends`` its stream.
 
-    ``lines``: stream_id, seq, provider, line. The chat-completion form ends at
-    its first ``[DONE]``; the messages form only reads text block deltas. Broken
-    JSON and empty texts are skipped. The end of a stream is one row, found with
-    a partial minimum, so a long stream is not sorted in one task.
+    The chat-completion form ends with ``[DONE]``; the messages form has no such line. Broken JSON has no text.
     """
-    data = lines.select("stream_id", "seq", provider, data_field(F.col("line")).alias("data"))
-    data = data.filter(F.col("data").isNotNull())
+    data = data_field(F.col("line"))
     openai = F.lower(F.coalesce(F.col(provider), F.lit(""))) != "anthropic"
-    ends = (
-        data.filter(openai & (F.col("data") == "[DONE]")).groupBy("stream_id").agg(F.min("seq").alias("_end"))
-    )
     valid = F.when(F.try_parse_json("data").isNotNull(), F.col("data"))
     text = F.when(openai, F.get_json_object(valid, "$.choices[0].delta.content")).when(
         F.get_json_object(valid, "$.type") == "content_block_delta", F.get_json_object(valid, "$.delta.text")
     )
-    live = data.join(ends, "stream_id", "left").filter(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
-    return live.select("stream_id", "seq", text.alias("text")).filter(F.col("text") != "")
+    ends = F.coalesce(openai & (F.col("data") == "[DONE]"), F.lit(False))
+    return lines.withColumn("data", data).withColumns({"text": text, "ends": ends}).drop("data")
+
+
+def sse_deltas(lines: DataFrame, provider: str = "provider") -> DataFrame:
+    """Text deltas of captured response streams, in (stream_id, seq).
+
+    ``lines``: stream_id, seq, provider, line. Lines from a stream's first end on, and empty
+    texts, are skipped. The end of a stream is one row, found with
+    a partial minimum, so a long stream is not sorted in one task.
+    """
+    parts = sse_parts(lines, provider)
+    ends = parts.filter("ends").groupBy("stream_id").agg(F.min("seq").alias("_end"))
+    live = parts.join(ends, "stream_id", "left").filter(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
+    return live.select("stream_id", "seq", "text").filter(F.col("text") != "")
 
 
 def completion_text(payload: Column, provider: Column) -> Column:
@@ -87,6 +93,11 @@ def embedding_rows(responses: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def failure_text(message: Column) -> Column:
+    """What a reader sees of a failed stream."""
+    return F.concat(F.lit("Query failed: "), F.coalesce(F.nullif(message, F.lit("")), F.lit("unknown error")))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Per stream: the shown answer, its citations and whether it failed.
 
@@ -109,9 +120,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     folded = facts.join(answers, "stream_id", "left")
     failed = F.col("_error_at").isNotNull()
-    shown_error = F.concat(F.lit("Query failed: "), F.coalesce(F.nullif(F.col("_message"), F.lit("")), F.lit("unknown error")))
     answer = (
-        F.when(failed, shown_error)
+        F.when(failed, failure_text(F.col("_message")))
         .when(F.col("_first_delta").isNotNull(), F.col("text"))
         .when(F.col("_done_at").isNotNull(), F.lit(EMPTY_ANSWER))
         .otherwise(F.lit(""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagemill.functions.sentences import spoken_sentences
 from passagemill.functions.text import word_tokens
@@ -12,6 +13,7 @@ from passagemill.operators.ordering import concat_in_order, release_in_order
 from passagemill.plans.answer import answer_events, assemble_answers
 from passagemill.session import new_run_dir, spread, stored
 from passagemill.sources.events import completion_text, fold_events, read_event_lines, sse_deltas
+from passagemill.streaming.answers import stream_fold_events, stream_sse_deltas, use_rocksdb
 from passagemill.streaming.speech import stream_ordered_release, stream_sentences
 
 from . import standins as st
@@ -57,6 +59,9 @@ SSE_SQL = """SELECT conv_id AS stream_id, turn AS seq, text FROM conversations
 WHERE role <> 'system' AND length(text) BETWEEN 60 AND 1500 AND turn <> 5 AND (conv_id % 2 = 1 OR turn < 5)"""
 
 
+SSE_BIG_SQL = SSE_SQL.replace("turn AS seq", "CAST(turn AS BIGINT) AS seq")
+
+
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     odd = F.col("conv_id") % 2 == 1
@@ -196,6 +201,38 @@ def folded(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def newest_rows(changes: DataFrame, root: str, key: str) -> DataFrame:
+    """The view that an update stream leaves: the last row of each key."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/view/batch={number}")
+
+    query = (
+        changes.writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    view = changes.sparkSession.read.schema(T.StructType([*changes.schema, T.StructField("batch", T.IntegerType())])).parquet(f"{root}/view")
+    row = F.struct(*[c for c in changes.columns if c != key])
+    return view.groupBy(key).agg(F.max_by(row, F.col("batch")).alias("s")).select(key, "s.*")
+
+
+def streamed_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fold while the events arrive in any order."""
+    use_rocksdb(spark)
+    root = new_run_dir(spark, "fold")
+    rows = newest_rows(stream_fold_events(arriving(spark, root, turn_events(spark, sf))), root, "stream_id")
+    return rows.select(
+        "stream_id", "answer", F.get(F.col("citations"), F.lit(0))["filename"].alias("filename"), "is_error", "n_deltas"
+    )
+
+
+def streamed_sse(spark: SparkSession, sf: str) -> DataFrame:
+    use_rocksdb(spark)
+    root = new_run_dir(spark, "sse")
+    return drained(stream_sse_deltas(arriving(spark, root, response_lines(spark, sf))), root)
+
+
 FOLD_SQL = """WITH ev AS (
   SELECT *, CASE WHEN turn = 0 THEN 'citations' WHEN length(text) > 1700 THEN 'error'
                  WHEN length(text) < 60 THEN 'done' ELSE 'delta' END AS type FROM conversations)
@@ -317,6 +354,8 @@ QUERIES = {
     "parse_event_lines": parsed_lines,
     "bad_event_lines": bad_lines,
     "fold_events": folded,
+    "stream_fold_events": streamed_fold,
+    "stream_sse_deltas": streamed_sse,
     "sentences": sentences,
     "conversation_sentences": conversation_sentences,
     "stream_sentences": streamed_sentences,
@@ -332,6 +371,8 @@ ORACLE = {
     "parse_event_lines": PARSE_LINES_SQL,
     "bad_event_lines": BAD_LINES_SQL,
     "fold_events": FOLD_SQL,
+    "stream_fold_events": FOLD_SQL,
+    "stream_sse_deltas": SSE_BIG_SQL,
     "sentences": SENTENCES_SQL,
     "conversation_sentences": CONV_SENTENCES_SQL,
     "stream_sentences": CONV_SENTENCES_SQL,

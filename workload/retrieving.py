@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,17 @@ from pyspark.sql import functions as F
 
 from passagemill.config import EngineConfig
 from passagemill.functions import wording
-from passagemill.functions.vectors import cosine, micro_text, norm, parse_vector, vector_text
-from passagemill.operators.ann import ann_join, assign_cells, train_cells
+from passagemill.functions.vectors import HashedWords, cosine, micro_text, norm, parse_vector, vector_text
+from passagemill.operators.ann import StoredCells, recall
 from passagemill.operators.chunk import chunk_documents
 from passagemill.operators.cite import with_sources
 from passagemill.operators.embed import embed_chunks, embed_questions
 from passagemill.operators.registry import chunk_document_join
 from passagemill.operators.search import knn_join, knn_topk, scope_filter, score_gate, visible_chunks
+from passagemill.plans.answer import answer_events
 from passagemill.plans.retrieve import answer_inputs, gated_pool, retrieve
-from passagemill.session import stored
+from passagemill.session import new_run_dir, shared_dir, stored
+from passagemill.sources.colocated import Colocated
 
 from . import standins as st
 from .ingesting import CONV_CHUNKS, DOC_CHUNKS
@@ -133,13 +136,44 @@ def neighbours_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("question_id", "document_id", "chunk_index", "ann_rank", "score")
 
 
+def cells_of_table(spark: SparkSession, sf: str) -> StoredCells:
+    """The stored index of the vectors; built where there is none for these files yet."""
+    chunks = st.vector_chunks(spark, sf)
+    files = sorted(chunks.inputFiles())
+    jvm = spark.sparkContext._jvm
+    seen = []
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    index = StoredCells(spark, f"{shared_dir(spark).rstrip('/')}/cells-{hashlib.sha256(' '.join(seen).encode()).hexdigest()[:16]}")
+    return index if index.exists() else index.build(chunks.drop("label"), n_cells=16)
+
+
 def approximate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = visible_chunks(st.vector_chunks(spark, sf), st.registry(spark, sf), CFG, ["embedding"])
-    index = train_cells(chunks, n_cells=16)
-    rows = ann_join(assign_cells(chunks, index), vector_questions(spark, sf), index, CFG, probes=8)
+    rows = cells_of_table(spark, sf).search(vector_questions(spark, sf), CFG, 8, st.registry(spark, sf))
+    return rows.select("question_id", "document_id", "chunk_index", "ann_rank", "score")
+
+
+def neighbours_in_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """With every cell probed the index gives the exact pools."""
+    rows = cells_of_table(spark, sf).search(vector_questions(spark, sf), CFG, 16, st.registry(spark, sf))
     return rows.select("question_id", "document_id", "chunk_index", "ann_rank", "score")
 
 
+def recall_by_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of the exact pools the index finds: half of the cells, all of them."""
+    exact = stored(_vector_pool(spark, sf), "exact")
+    index, asked_ = cells_of_table(spark, sf), vector_questions(spark, sf)
+    n = exact.count()
+    found = [(probes, n, recall(index.search(asked_, CFG, probes, st.registry(spark, sf)), exact)) for probes in (8, 16)]
+    rows = spark.createDataFrame(found, "probes int, n long, recall double")
+    return rows.select("probes", "n", (F.col("recall") >= F.when(F.col("probes") == 16, 1.0).otherwise(0.5)).alias("reached"))
+
+
+RECALL_SQL = with_ctes(st.REGISTRY, POOL_SQL.format(k=30), select="SELECT unnest([8, 16]) AS probes, count(*) AS n, true AS reached FROM pool")
+
+
 def completed_in_scope(spark: SparkSession, sf: str) -> DataFrame:
     rows = scope_filter(st.registry(spark, sf), document_id="", collection="src3", user_id="en")
     return rows.select("document_id", "collection", "user_id", "status")
@@ -158,6 +192,15 @@ def chunks_with_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_document_join(chunks, docs)
 
 
+def colocated_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same join of tables that lie in buckets by document."""
+    name = new_run_dir(spark, "colocated")
+    tables = Colocated(spark, "c" + name[-32:], name, 8)
+    tables.write("chunks", st.vector_chunks(spark, sf).select("document_id", "chunk_index", "label"))
+    tables.write("documents", st.registry(spark, sf).select("document_id", "original_filename", "collection", "status"))
+    return tables.join("chunks", "documents")
+
+
 CHUNK_DOC_SQL = with_ctes(
     st.REGISTRY,
     select="""SELECT r.document_id, 0 AS chunk_index, e.label, r.original_filename, r.collection, r.status
@@ -354,6 +397,49 @@ FROM questions q LEFT JOIN final f USING (question_id) GROUP BY q.question_id"""
 )
 
 
+def mixed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark questions, four of five with something wrong: empty, top_k 99, a failing model, an empty vector."""
+    q = st.text_questions(spark, sf)
+    case = F.col("question_id").cast("long") % 5
+    bad = q.withColumn("case", case).withColumn("question", F.when(case == 1, F.lit("")).when(case == 3, F.concat(F.lit("FAIL "), "question")).otherwise(F.col("question")))
+    bad = bad.withColumn("top_k", F.when(case == 2, F.lit(99)).otherwise(F.col("top_k")))
+
+    def failing():
+        model = HashedWords(TEXT_CFG.embedding_dim)
+
+        def embed(texts: list[str]):
+            if any(t.startswith("FAIL ") for t in texts):
+                raise RuntimeError("model is down")
+            return model(texts)
+
+        return embed
+
+    rows = embed_questions(bad, TEXT_CFG, failing)
+    return rows.withColumn("q_vec", F.when(case == 4, F.array().cast("array<float>")).otherwise(F.col("q_vec"))).drop("case")
+
+
+def failed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The first event of each question's stream beside what was found for it."""
+    answers = stored(answer_inputs(mixed_questions(spark, sf), text_chunks(spark, sf), st.registry(spark, sf), TEXT_CFG), "answers")
+    none = spark.createDataFrame([], "question_id string, seq long, text string, stage string, message string")
+    first = answer_events(answers, none.select("question_id", "seq", "text"), none.select("question_id", "stage", "message")).filter("seq = 0")
+    shown = answers.select("question_id", "error", "answer", F.col("user_prompt").isNotNull().alias("has_prompt"), F.size("citations").alias("n_citations"))
+    return shown.join(first.select("question_id", "type", "message"), "question_id")
+
+
+FAILED_SQL = with_ctes(
+    FINAL_CTES,
+    f"""outcome AS (
+  SELECT q.question_id, CAST(q.question_id AS BIGINT) % 5 AS c, count(f.n) AS hits,
+    CASE CAST(q.question_id AS BIGINT) % 5 WHEN 1 THEN 'invalid question: question too short' WHEN 2 THEN 'invalid question: top_k out of range'
+      WHEN 3 THEN 'embedding failed: model is down' WHEN 4 THEN 'embedding failed: no usable vector' END AS error
+  FROM questions q LEFT JOIN final f USING (question_id) GROUP BY q.question_id)""",
+    select=f"""SELECT question_id, error, CASE WHEN error IS NULL AND hits = 0 THEN {_quoted(wording.NO_HITS_ANSWER)} END AS answer,
+  error IS NULL AND hits > 0 AS has_prompt, CAST(CASE WHEN error IS NULL THEN hits ELSE 0 END AS INTEGER) AS n_citations,
+  CASE WHEN error IS NULL THEN 'citations' ELSE 'error' END AS type, error AS message FROM outcome""",
+)
+
+
 QUERIES = {
     "cosine_scores": cosine_scores,
     "vector_text": vector_texts,
@@ -361,9 +447,13 @@ QUERIES = {
     "knn_join": nearest_neighbours,
     "knn_join_blocks": neighbours_in_blocks,
     "ann_topk": approximate_neighbours,
+    "ann_all_cells": neighbours_in_all_cells,
+    "ann_recall": recall_by_probes,
+    "failed_questions": failed_questions,
     "score_gate": gated_neighbours,
     "scope_filter": completed_in_scope,
     "chunk_document_join": chunks_with_documents,
+    "colocated_join": colocated_chunks,
     "retrieve": retrieved,
     "rerank": reranked,
     "knn_no_rerank": without_reranker,
@@ -381,9 +471,13 @@ ORACLE = {
     "knn_topk": KNN_TOPK_SQL,
     "knn_join": KNN_JOIN_SQL,
     "knn_join_blocks": KNN_JOIN_SQL,
+    "ann_all_cells": KNN_JOIN_SQL,
+    "ann_recall": RECALL_SQL,
+    "failed_questions": FAILED_SQL,
     "score_gate": GATE_SQL,
     "scope_filter": SCOPE_SQL,
     "chunk_document_join": CHUNK_DOC_SQL,
+    "colocated_join": CHUNK_DOC_SQL,
     "retrieve": RETRIEVE_SQL,
     "rerank": RERANK_SQL,
     "knn_no_rerank": NO_RERANK_SQL,
