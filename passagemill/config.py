@@ -26,6 +26,7 @@ class EngineConfig:
     embedding_dim: int = 1536
     embed_batch: int = 64
     rerank_batch: int = 32
+    rerank_max_tokens: int = 512
 
     # A table is broadcast only when its measured size is at most this.
     broadcast_bytes: int = 64 * 1024 * 1024
@@ -42,8 +43,8 @@ class EngineConfig:
             raise ValueError("chunk_overlap must be in [0, chunk_size): the window would not advance")
         if not 1 <= self.top_k <= 50:
             raise ValueError("top_k must be in 1..50")
-        if self.pool_size < 1 or self.embed_batch < 1 or self.rerank_batch < 1:
-            raise ValueError("pool_size and batch sizes must be at least 1")
+        if self.pool_size < 1 or self.embed_batch < 1 or self.rerank_batch < 1 or self.rerank_max_tokens < 1:
+            raise ValueError("pool_size, batch sizes and token limits must be at least 1")
         if not -1.0 <= self.min_score <= 1.0:
             raise ValueError("min_score is a cosine and must be in [-1, 1]")
 

@@ -23,12 +23,24 @@ STATE = "next_seq long, waiting string, text string, emitted long"
 
 
 
+def _order(row: list, fields: list[str]) -> tuple:
+    """Rows of one number by preference: those that did not fail, then the least by its values, null first."""
+    bad = row[fields.index("failed")] if "failed" in fields else False
+    return (bad is None or bool(bad), [(v is not None, v.encode() if isinstance(v, str) else v) for v in row])
+
+
 def _in_sequence(batches: Iterator[pd.DataFrame], waiting: dict, next_seq: int, fields: list[str]):
-    """Yield rows in gap-free order; keep the rows beyond a gap in ``waiting``."""
+    """Yield rows in gap-free order; keep the rows beyond a gap in ``waiting``.
+
+    Of rows with one number the same wins as in the batch form, as long as none of them has been given out.
+    """
     for batch in batches:
         for row in batch[["seq", *fields]].itertuples(index=False, name=None):
             if row[0] >= next_seq:
-                waiting[str(int(row[0]))] = [None if pd.isna(v) else v for v in row[1:]]
+                new = [None if pd.isna(v) else _plain(v) if hasattr(v, "item") else v for v in row[1:]]
+                old = waiting.get(str(int(row[0])))
+                if old is None or _order(new, fields) < _order(old, fields):
+                    waiting[str(int(row[0]))] = new
         while str(next_seq) in waiting:
             yield next_seq, waiting.pop(str(next_seq))
             next_seq += 1
@@ -54,7 +66,7 @@ def stream_ordered_release(results: DataFrame, idle_ms: int | None = None) -> Da
         out = []
         for seq, row in _in_sequence(batches, waiting, next_seq, ["payload", "failed"]):
             next_seq = seq if row is None else seq + 1
-            if row is not None and not row[1]:
+            if row is not None and row[1] is not None and not row[1]:
                 out.append((key[0], seq, row[0]))
         state.update((next_seq, json.dumps(waiting, default=_plain), "", 0))
         if idle_ms is not None:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagemill.config import EngineConfig
 from passagemill.functions import text as txt
 from passagemill.functions.vectors import HashedWords, micro_text
 from passagemill.functions.wording import embedding_input
@@ -22,6 +23,7 @@ from passagemill.sources.events import embedding_rows
 from passagemill.sources.files import register, scan_files, store_path
 from passagemill.sources.tables import Tables
 from passagemill.streaming.ingest import stream_ingest
+from passagemill.streaming.intake import REJECTED, arriving_files, stream_file_intake, taken
 
 from . import standins as st
 from .standins import CFG, SMALL, WS, strip_sql, table, with_ctes
@@ -38,6 +40,15 @@ def file_intake(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("filename", "mime", "length", F.md5("content").alias("digest"), reason.alias("reason"))
 
 
+def streamed_intake(spark: SparkSession, sf: str) -> DataFrame:
+    """The table files as they arrive: checked once, accepted ones with a digest of their content, the others with their code."""
+    root = new_run_dir(spark, "intake")
+    cfg = EngineConfig(allowed_mime_types="application/octet-stream", max_upload_mb=1)
+    stream_file_intake(arriving_files(spark, sf, 4), root, cfg, f"{root}/checkpoint").awaitTermination()
+    good = taken(spark, root).select("filename", "mime", "length", F.md5("content").alias("digest"), F.lit(None).cast("int").alias("reject_code"))
+    return good.unionByName(taken(spark, root, REJECTED).select("filename", "mime", "length", F.lit(None).cast("string").alias("digest"), "reject_code"))
+
+
 def upload_rows(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     name = F.concat(F.lit("inbox/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -465,6 +476,7 @@ WHERE r.user_id IN ('fr', 'de') AND r.error_message IS NULL GROUP BY ALL""",
 
 QUERIES = {
     "file_intake": file_intake,
+    "stream_file_intake": streamed_intake,
     "register_documents": register_documents,
     "storage_path": storage_path,
     "validate_uploads": validate_uploads,

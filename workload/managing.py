@@ -10,9 +10,11 @@ from passagemill.operators import lifecycle as life
 from passagemill.operators import registry as reg
 from passagemill.schemas import JOB_STATUSES
 from passagemill.session import new_run_dir
-from passagemill.streaming.status import stream_latest_status
+from passagemill.streaming.answers import use_rocksdb
+from passagemill.streaming.status import shown, stream_latest_status, stream_status_view
 
 from . import standins as st
+from .answering import arriving, newest_rows
 from .standins import CFG, table, with_ctes
 
 EVENT_STATUS = {
@@ -224,6 +226,24 @@ def streamed_latest(spark: SparkSession, sf: str) -> DataFrame:
     return micros(newest.select("document_id", "s.*"), "updated_at")
 
 
+def streamed_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The live view over events that arrive in any order; every seventh event removes its document."""
+    use_rocksdb(spark)
+    root = new_run_dir(spark, "view")
+    log = status_log(table(spark, sf, "events"))
+    log = log.withColumn("status", F.when(F.col("event_id") % 7 == 0, F.lit("deleted")).otherwise(F.col("status")))
+    changes = stream_status_view(arriving(spark, root, log), grace_ms=86_400_000)
+    rows = shown(newest_rows(changes, root, "document_id"))
+    return micros(rows, "updated_at")
+
+
+VIEW_SQL = with_ctes(
+    LATEST.replace("error_message, ts", "error_message, ts, event_id"),
+    select="""SELECT document_id, status, error_message, epoch_us(ts) AS updated_at,
+  status IN ('completed', 'failed') AS is_terminal FROM latest WHERE event_id % 7 <> 0""",
+)
+
+
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Every event opens a job; purchases and errors close theirs ``value`` seconds later."""
     events = table(spark, sf, "events")
@@ -372,6 +392,7 @@ QUERIES = {
     "metadata_filter": by_metadata,
     "latest_status": latest,
     "stream_latest_status": streamed_latest,
+    "stream_status_view": streamed_view,
     "job_log": jobs,
     "reprocess_candidates": to_reprocess,
     "queued_count": queued_count,
@@ -393,6 +414,7 @@ ORACLE = {
     "metadata_filter": METADATA_SQL,
     "latest_status": LATEST_SQL,
     "stream_latest_status": LATEST_SQL,
+    "stream_status_view": VIEW_SQL,
     "job_log": JOBS_SQL,
     "reprocess_candidates": REPROCESS_SQL,
     "queued_count": with_ctes(st.REGISTRY, select="SELECT count(*) AS queued FROM registry WHERE storage_path <> ''"),

@@ -16,6 +16,7 @@ from passagemill.operators.chunk import chunk_documents
 from passagemill.operators.cite import with_sources
 from passagemill.operators.embed import embed_chunks, embed_questions
 from passagemill.operators.registry import chunk_document_join
+from passagemill.operators.rerank import pair_scores, rerank
 from passagemill.operators.search import knn_join, knn_topk, scope_filter, score_gate, visible_chunks
 from passagemill.plans.answer import answer_events
 from passagemill.plans.retrieve import answer_inputs, gated_pool, retrieve
@@ -293,6 +294,40 @@ RERANK_SQL = with_ctes(
 )
 
 
+def shared_letters():
+    """A pair model for the query: how many letters of the pair are an e; it fails on contents with a marker."""
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        if any("Q: " in content for _, content in pairs):
+            raise RuntimeError("cannot score")
+        return [float((question + content).count("e")) for question, content in pairs]
+
+    return score
+
+
+def reranked_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question's first chunks of documents scored by a pair model in batches; some pairs fail."""
+    chunks = chunk_documents(st.conversation_texts(spark, sf), st.SMALL, keep=("document_id",))
+    pool = chunks.filter(F.length("content") < 500).select(
+        F.col("document_id").alias("question_id"), F.lit("Where were they seen?").alias("question"),
+        F.when(F.col("chunk_index") % 3 == 2, F.concat(F.lit("Q: "), "content")).otherwise(F.col("content")).alias("content"),
+        (F.col("chunk_index") + 1).alias("ann_rank"), F.lit(4).alias("top_k"),
+    )
+    rows = rerank(pool, pair_scores(EngineConfig(rerank_batch=7), shared_letters))
+    return rows.select("question_id", "n", "ann_rank", "rerank_score", "rerank_error")
+
+
+RERANK_MODEL_SQL = with_ctes(
+    CONV_CHUNKS,
+    select="""SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC NULLS LAST, ann_rank) AS INTEGER) AS n,
+  ann_rank, rerank_score, rerank_error FROM (
+  SELECT document_id AS question_id, chunk_index + 1 AS ann_rank, count(*) OVER (PARTITION BY document_id) > 4 AS worth,
+    CASE WHEN worth AND chunk_index % 3 <> 2 THEN CAST(7 + length(content) - length(replace(content, 'e', '')) AS DOUBLE) END AS rerank_score,
+    CASE WHEN worth AND chunk_index % 3 = 2 THEN 'cannot score' END AS rerank_error
+  FROM chunks WHERE length(content) < 500) QUALIFY n <= 4""",
+)
+
+
 def without_reranker(spark: SparkSession, sf: str) -> DataFrame:
     rows = retrieve(asked(spark, sf), text_chunks(spark, sf), st.registry(spark, sf), TEXT_CFG, scorer=None)
     return rows.select("question_id", "n", "document_id", "chunk_index", "score")
@@ -456,6 +491,7 @@ QUERIES = {
     "colocated_join": colocated_chunks,
     "retrieve": retrieved,
     "rerank": reranked,
+    "rerank_model": reranked_by_model,
     "knn_no_rerank": without_reranker,
     "source_labels": source_labels,
     "citation_labels": citation_labels,
@@ -480,6 +516,7 @@ ORACLE = {
     "colocated_join": CHUNK_DOC_SQL,
     "retrieve": RETRIEVE_SQL,
     "rerank": RERANK_SQL,
+    "rerank_model": RERANK_MODEL_SQL,
     "knn_no_rerank": NO_RERANK_SQL,
     "source_labels": with_ctes(CONV_CHUNKS, select=f"SELECT document_id, chunk_index, {LABEL_SQL} AS label FROM chunks"),
     "citation_labels": CITATION_LABELS_SQL,
