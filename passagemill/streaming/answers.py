@@ -2,7 +2,8 @@
 
 State is kept per stream and entry (a map), so an entry costs one write however long the stream is.
 Both need a state store with column families: set ``spark.sql.streaming.stateStore.providerClass``
-to the RocksDB provider (``use_rocksdb``) before the query starts. ``ttl_ms`` drops the state of silent streams.
+to the RocksDB provider (``use_rocksdb``) before the query starts. ``ttl_ms`` drops the state of silent streams; Spark then
+runs batches for ever, so a query that should end by itself (trigger ``availableNow``) passes None.
 """
 
 from __future__ import annotations

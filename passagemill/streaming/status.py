@@ -27,8 +27,8 @@ def stream_latest_status(log: DataFrame) -> DataFrame:
 class _View(StatefulProcessor):
     """The newest entry of a document; a removal clears it and is remembered apart for a while."""
 
-    def __init__(self, grace_ms: int | None):
-        self.grace_ms = grace_ms
+    def __init__(self, remember: bool, grace_ms: int | None):
+        self.remember, self.grace_ms = remember, grace_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "at long, event_id long, status string, error_message string")
@@ -50,7 +50,7 @@ class _View(StatefulProcessor):
         removed = best[2] == REMOVED
         if removed:
             self.newest.clear()
-            if self.grace_ms is not None:
+            if self.remember:
                 self.gone.update(best[:2])
         else:
             self.newest.update(best)
@@ -60,13 +60,14 @@ class _View(StatefulProcessor):
         pass
 
 
-def stream_status_view(log: DataFrame, grace_ms: int | None = None) -> DataFrame:
+def stream_status_view(log: DataFrame, remember: bool = False, grace_ms: int | None = None) -> DataFrame:
     """Changes of the live view: document_id, status, error_message, updated_at, is_terminal, removed (update).
 
     ``log`` is that of ``latest_status``; an entry with status ``deleted`` is a tombstone: the row leaves the view (one
-    change with ``removed``) and its state goes. Entries older than what is shown change nothing. Within
-    ``grace_ms`` of a removal entries older than it are still known as such; without it, or later, an old entry that arrives late shows the
-    document again. Needs the RocksDB state store (``answers.use_rocksdb``).
+    change with ``removed``) and its state goes. Entries older than what is shown change nothing. With ``remember`` two numbers
+    of a removal stay, so that entries older than it are known as such, for ``grace_ms`` if given; else an old entry that arrives late
+    shows the document again. With ``grace_ms`` Spark runs batches for ever to look for what has expired, so a query that should
+    end by itself (trigger ``availableNow``) passes None. Needs the RocksDB state store (``answers.use_rocksdb``).
     """
     narrow = log.select(
         "document_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("event_id"),
@@ -74,7 +75,7 @@ def stream_status_view(log: DataFrame, grace_ms: int | None = None) -> DataFrame
     )
     shape = "document_id string, status string, error_message string, at long, removed boolean"
     mode = "none" if grace_ms is None else "processingTime"
-    changes = narrow.groupBy("document_id").transformWithStateInPandas(_View(grace_ms), shape, "update", mode)
+    changes = narrow.groupBy("document_id").transformWithStateInPandas(_View(remember, grace_ms), shape, "update", mode)
     return changes.select(
         "document_id", "status", "error_message", F.timestamp_micros("at").alias("updated_at"), F.col("status").isin(TERMINAL).alias("is_terminal"), "removed",
     )

@@ -11,7 +11,8 @@ from passagemill.operators import registry as reg
 from passagemill.schemas import JOB_STATUSES
 from passagemill.session import new_run_dir
 from passagemill.streaming.answers import use_rocksdb
-from passagemill.streaming.status import shown, stream_latest_status, stream_status_view
+from passagemill.streaming import status as live
+from passagemill.streaming.status import stream_latest_status, stream_status_view
 
 from . import standins as st
 from .answering import arriving, newest_rows
@@ -232,8 +233,8 @@ def streamed_view(spark: SparkSession, sf: str) -> DataFrame:
     root = new_run_dir(spark, "view")
     log = status_log(table(spark, sf, "events"))
     log = log.withColumn("status", F.when(F.col("event_id") % 7 == 0, F.lit("deleted")).otherwise(F.col("status")))
-    changes = stream_status_view(arriving(spark, root, log), grace_ms=86_400_000)
-    rows = shown(newest_rows(changes, root, "document_id"))
+    changes = stream_status_view(arriving(spark, root, log), remember=True)
+    rows = live.shown(newest_rows(changes, root, "document_id"))
     return micros(rows, "updated_at")
 
 
