@@ -116,55 +116,70 @@ def next_queued(rows: DataFrame, by: str) -> DataFrame:
 
 
 def metadata_filter(rows: DataFrame, column: str, wanted: Mapping[str, str]) -> DataFrame:
-    """Rows whose JSON metadata holds all the given top-level values."""
+    """Rows whose JSON metadata holds all the given top-level values as text (names without a single quote); ``containment`` has the rest."""
     for name, value in wanted.items():
-        rows = rows.filter(F.get_json_object(column, f"$.{name}") == value)
+        rows = rows.filter(F.get_json_object(column, f"$['{name}']") == value)
     return rows
 
 
-def violations(rule: str, table: str, bad_rows: DataFrame) -> DataFrame:
-    return bad_rows.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), "violations"
-    )
-
-
-def not_null(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.filter(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False)))
-
-
-def outside(rows: DataFrame, column: str, allowed: list[str] = DOC_STATUSES) -> DataFrame:
-    return rows.filter(~F.col(column).isin(allowed))
-
+def _any_null(columns: list[str]) -> Column:
+    return F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
 
+def _facts(rows: DataFrame, counts: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Per document: rows, repeated keys and the rows that break a rule, from one pass over ``rows``.
 
-def orphans(rows: DataFrame, parents: DataFrame, key: str = "document_id") -> DataFrame:
-    return rows.select(key).join(parents.select(key), key, "left_anti")
-
-
-def wrong_dimension(rows: DataFrame, dim: int) -> DataFrame:
-    return rows.filter(F.size("embedding") != dim)
+    Counting by the whole key first spreads a document with very many rows.
+    """
+    by_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(bad).alias(name) for name, bad in counts.items()])
+    sums = [F.sum(name).alias(name) for name in ("rows", *counts)]
+    return by_key.groupBy("document_id").agg(*sums, F.count_if(F.col("rows") > 1).alias("repeated"))
 
 
 def constraint_report(
     documents: DataFrame, chunks: DataFrame, jobs: DataFrame, dim: int, job_statuses: list[str]
 ) -> DataFrame:
-    """Violations per declared rule; all zero for sound tables."""
+    """Violations per declared rule; all zero for sound tables.
+
+    Every table is read once: what a rule needs is counted by key, then by document, where the three tables meet.
+    """
+    tables = {
+        "documents": _facts(
+            documents,
+            {"empty": _any_null(["document_id", "original_filename", "file_type", "storage_path", "status"]),
+             "status": ~F.col("status").isin(DOC_STATUSES)},
+            ["document_id"],
+        ),
+        "chunks": _facts(
+            chunks,
+            {"empty": _any_null(["document_id", "chunk_index", "content"]), "width": F.size("embedding") != dim},
+            ["document_id", "chunk_index"],
+        ),
+        "jobs": _facts(jobs, {"status": ~F.col("status").isin(job_statuses)}, ["document_id"]),
+    }
+    names = {table: [c for c in facts.columns if c != "document_id"] for table, facts in tables.items()}
+    every = [f"{table}_{c}" for table, columns in names.items() for c in columns]
+    met = None
+    for table, facts in tables.items():
+        own = {f"{table}_{c}": F.col(c) for c in names[table]}
+        part = facts.select("document_id", *[own.get(c, F.lit(0)).cast("long").alias(c) for c in every])
+        met = part if met is None else met.unionByName(part)
+    met = met.groupBy("document_id").agg(*[F.sum(c).alias(c) for c in every])
+    orphan = F.col("document_id").isNull() | (F.col("documents_rows") == 0)
     checks = [
-        ("not null", "documents", not_null(documents, ["document_id", "original_filename", "file_type", "storage_path", "status"])),
-        ("not null", "chunks", not_null(chunks, ["document_id", "chunk_index", "content"])),
-        ("primary key", "documents", repeated(documents, ["document_id"])),
-        ("status value", "documents", outside(documents, "status")),
-        ("status value", "jobs", outside(jobs, "status", job_statuses)),
-        ("unique", "chunks", repeated(chunks, ["document_id", "chunk_index"])),
-        ("foreign key", "chunks", orphans(chunks, documents)),
-        ("foreign key", "jobs", orphans(jobs, documents)),
-        ("vector dimension", "chunks", wrong_dimension(chunks, dim)),
+        ("not null", "documents", F.col("documents_empty")),
+        ("not null", "chunks", F.col("chunks_empty")),
+        ("primary key", "documents", F.col("documents_repeated")),
+        ("status value", "documents", F.col("documents_status")),
+        ("status value", "jobs", F.col("jobs_status")),
+        ("unique", "chunks", F.col("chunks_repeated")),
+        ("foreign key", "chunks", F.when(orphan, F.col("chunks_rows"))),
+        ("foreign key", "jobs", F.when(orphan, F.col("jobs_rows"))),
+        ("vector dimension", "chunks", F.col("chunks_width")),
+    ]
+    totals = met.agg(*[F.coalesce(F.sum(bad), F.lit(0).cast("long")).alias(f"_{i}") for i, (_, _, bad) in enumerate(checks)])
+    lines = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.col(f"_{i}").alias("violations"))
+        for i, (rule, table, _) in enumerate(checks)
     ]
-    report = None
-    for rule, table, bad in checks:
-        row = violations(rule, table, bad)
-        report = row if report is None else report.unionByName(row)
-    return report
+    return totals.select(F.inline(F.array(*lines)))

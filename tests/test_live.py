@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from passagemill.config import EngineConfig
 from passagemill.operators.ordering import release_in_order
 from passagemill.schemas import STREAM_EVENT
+from passagemill.plans.answer import answer_events
 from passagemill.sources.events import fold_events, sse_deltas
 from passagemill.streaming.answers import stream_fold_events, stream_sse_deltas, use_rocksdb
+from passagemill.streaming.framing import stream_answer_events
 from passagemill.streaming.intake import REJECTED, arriving_files, stream_file_intake, taken
 from passagemill.streaming.speech import stream_ordered_release
 from passagemill.streaming.status import stream_status_view
@@ -138,3 +140,58 @@ def test_files_are_taken_once_across_a_crash(spark, tmp_path):
     assert bad == {"big.png": 413, "note.txt": 415} and taken(spark, root, REJECTED).count() == 2
     assert taken(spark, str(tmp_path / "nothing")).count() == 0
     assert taken(spark, root).select(F.sum("length")).first()[0] == sum(range(1, 7)) + 4
+
+
+def test_framing_in_any_order(spark, tmp_path):
+    cite = [(1, "d", "f.md", None, "H", 0.5)]
+    inputs = [("a", cite, None, None), ("b", [], "nothing", None), ("c", None, None, "refused"), ("d", cite, None, None), ("e", cite, None, None), ("g", cite, None, None)]
+    deltas = [("a", i, f"t{i} ") for i in range(9)] + [("d", 0, "x"), ("d", 1, ""), ("e", 0, None), ("b", 0, "unheard"), ("c", 0, "unheard"), ("f", 0, "no input")]
+    ends = [("a", 9, None), ("b", 1, None), ("c", 1, "late"), ("d", 2, "model"), ("e", 1, None), ("f", 1, None), ("g", 0, None)]
+    schema = T.StructType([T.StructField(n, t) for n, t in (
+        ("kind", T.StringType()), ("question_id", T.StringType()), ("citations", STREAM_EVENT["data"].dataType), ("answer", T.StringType()), ("error", T.StringType()),
+        ("seq", T.LongType()), ("text", T.StringType()), ("n_deltas", T.LongType()), ("message", T.StringType()))])
+    signals = [("i", *r, None, None, None, None) for r in inputs] + [("d", q, None, None, None, n, t, None, None) for q, n, t in deltas]
+    signals += [("e", q, None, None, None, None, None, n, m) for q, n, m in ends]
+
+    def make(s):
+        of = lambda kind, *cols: s.filter(F.col("kind") == kind).select("question_id", *cols)
+        return stream_answer_events(of("i", "citations", "answer", "error"), of("d", "seq", "text"), of("e", "n_deltas", "message"))
+
+    batch = spark.createDataFrame(signals, schema)
+    errors = batch.filter("kind = 'e' AND message IS NOT NULL").select("question_id", F.lit("model").alias("stage"), "message")
+    told = answer_events(
+        batch.filter("kind = 'i'").select("question_id", "citations", "answer", "error"),
+        batch.filter("kind = 'd' AND text IS NOT NULL").select("question_id", "seq", "text"), errors,
+    )
+    fields = ["question_id", "seq", "type", "text", "message", "line"]
+    want = sorted(tuple(r) for r in told.select(*fields).collect())
+    for seed in (1, 2):
+        random.seed(seed)
+        order = signals + random.sample(signals, 6)  # some come twice
+        random.shuffle(order)
+        batches = [order[i : i + 7] for i in range(0, len(order), 7)] + [[signals[0], signals[-1]]]
+        got = in_batches(spark, tmp_path / str(seed), batches, schema, make)
+        assert sorted(tuple(r[f] for f in fields) for _, r in got) == want
+        numbers = [r["seq"] for _, r in got if r["question_id"] == "a"]
+        assert numbers == sorted(numbers) and len({n for n, r in got if r["question_id"] == "a"}) > 1
+
+
+def test_framing_state_after_the_close(spark, tmp_path):
+    inputs = spark.createDataFrame([("a", [], None, None)], T.StructType([
+        T.StructField("question_id", T.StringType()), T.StructField("citations", STREAM_EVENT["data"].dataType),
+        T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]))
+    deltas = spark.createDataFrame([("a", 0, "x"), ("a", 5, "beyond the end")], "question_id string, seq long, text string")
+    ends = spark.createDataFrame([("a", 1, None)], "question_id string, n_deltas long, message string")
+    streams = []
+    for name, rows in (("i", inputs), ("d", deltas), ("e", ends)):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/{name}"))
+    query = (
+        stream_answer_events(*streams).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert [r["type"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()] == ["citations", "delta", "done"]
+    for name in ("end", "waiting"):
+        reader = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", name)
+        assert reader.load().count() == 0

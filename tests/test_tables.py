@@ -240,3 +240,9 @@ def test_list_reads_few_columns(spark):
     assert "TakeOrderedAndProject" in plan
     assert all("text" not in schema for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
     assert "EqualTo(lang,en)" in plan
+
+
+def test_constraints_read_each_table_once(spark):
+    plan = plan_of(entry.queries()["constraint_report"](spark, SF))
+    read = re.findall(r"Location: [^\[]*\[[^\]]*/(\w+)\.parquet", plan)
+    assert read and sorted(read) == sorted(set(read))

@@ -14,6 +14,7 @@ from passagemill.plans.answer import answer_events, assemble_answers
 from passagemill.session import new_run_dir, spread, stored
 from passagemill.sources.events import completion_text, fold_events, read_event_lines, sse_deltas
 from passagemill.streaming.answers import stream_fold_events, stream_sse_deltas, use_rocksdb
+from passagemill.streaming.framing import stream_answer_events
 from passagemill.streaming.speech import stream_ordered_release, stream_sentences
 
 from . import standins as st
@@ -109,6 +110,25 @@ def streamed_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def framed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same event rows while inputs, deltas and ends arrive as three streams, each in any order."""
+    use_rocksdb(spark)
+    root = new_run_dir(spark, "framing")
+    q = st.text_questions(spark, sf)
+    words, size = word_tokens(F.col("question")), F.length("question")
+    code = F.concat(F.lit("code "), size.cast("string"))
+    refused = q.select("question_id", F.when(size % 7 == 0, code).alias("error"))
+    inputs = _answers(spark, sf).drop("error").join(refused, "question_id").select("question_id", "citations", "answer", "error")
+    deltas = q.select("question_id", F.posexplode(words).alias("seq", "text"))
+    ends = q.select("question_id", F.size(words).alias("n_deltas"), F.when(size % 7 == 1, code).alias("message"))
+    streams = [arriving(spark, f"{root}/{name}", rows) for name, rows in (("inputs", inputs), ("deltas", deltas), ("ends", ends))]
+    events = drained(stream_answer_events(*streams), root)
+    return events.select(
+        "question_id", "seq", "type", "text", "message", F.size("data").alias("n_citations"),
+        F.when(F.col("type") != "citations", F.col("line")).alias("line"),
+    )
+
+
 EVENTS_SQL = with_ctes(
     FINAL_CTES,
     f"""base AS (
@@ -351,6 +371,7 @@ QUERIES = {
     "extract_completion": completions,
     "assemble_answers": assembled_answers,
     "answer_events": streamed_answers,
+    "stream_answer_events": framed_answers,
     "parse_event_lines": parsed_lines,
     "bad_event_lines": bad_lines,
     "fold_events": folded,
@@ -368,6 +389,7 @@ ORACLE = {
     "extract_completion": COMPLETION_SQL,
     "assemble_answers": ASSEMBLE_SQL,
     "answer_events": EVENTS_SQL,
+    "stream_answer_events": EVENTS_SQL,
     "parse_event_lines": PARSE_LINES_SQL,
     "bad_event_lines": BAD_LINES_SQL,
     "fold_events": FOLD_SQL,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import wording
 from passagemill.operators import lifecycle as life
+from passagemill.operators.containment import containing, write_leaf_index
 from passagemill.operators import registry as reg
 from passagemill.schemas import JOB_STATUSES
 from passagemill.session import new_run_dir
@@ -186,6 +187,41 @@ def by_metadata(spark: SparkSession, sf: str) -> DataFrame:
 METADATA_SQL = "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '69'"
 
 
+def nested_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with what is known of them as one nested JSON text."""
+    name = F.col("event_type")
+    meta = F.to_json(F.struct(
+        F.struct(F.col("user_id").alias("id"), F.array(name, F.lit("web")).alias("tags")).alias("user"),
+        F.array(F.struct(name.alias("type"), (F.col("event_id") % 5).alias("level")), F.struct(F.lit("none").alias("type"), F.lit(0).cast("long").alias("level"))).alias("steps"),
+        (F.col("event_id") % 2 == 0).alias("even"), F.lit(None).cast("string").alias("note"), F.lit(1.5).alias("a.b'c"),
+    ), {"ignoreNullFields": "false"})
+    return table(spark, sf, "events").select("event_id", meta.alias("metadata"))
+
+
+# The name of the last field has a dot and a quote.
+PATTERN = {"user": {"tags": ["web", "purchase"]}, "steps": [{"level": 3, "type": "purchase"}, {}], "even": True, "note": None, "a.b'c": 1.5}
+
+
+def by_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan of all texts."""
+    return containing(nested_metadata(spark, sf), "event_id", "metadata", PATTERN).select("event_id")
+
+
+def by_leaf_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows found through a written index of leaves."""
+    rows = nested_metadata(spark, sf)
+    path = new_run_dir(spark, "leaves")
+    write_leaf_index(rows, "event_id", "metadata", path)
+    return containing(rows, "event_id", "metadata", PATTERN, spark.read.parquet(path)).select("event_id")
+
+
+CONTAIN_SQL = """SELECT event_id FROM (
+  SELECT event_id, CAST(to_json({'user': {'id': user_id, 'tags': [event_type, 'web']},
+    'steps': [{'type': event_type, 'level': event_id % 5}, {'type': 'none', 'level': 0}],
+    'even': event_id % 2 = 0, 'note': NULL, 'a.b''c': 1.5}) AS VARCHAR) AS metadata FROM events)
+WHERE json_contains(metadata, '{"user":{"tags":["web","purchase"]},"steps":[{"level":3,"type":"purchase"},{}],"even":true,"note":null,"a.b''c":1.5}')"""
+
+
 # Lifecycle ------------------------------------------------------------------
 
 
@@ -391,6 +427,8 @@ QUERIES = {
     "status_rollup": rollup,
     "next_queued": queue_heads,
     "metadata_filter": by_metadata,
+    "metadata_contains": by_containment,
+    "metadata_contains_index": by_leaf_index,
     "latest_status": latest,
     "stream_latest_status": streamed_latest,
     "stream_status_view": streamed_view,
@@ -413,6 +451,8 @@ ORACLE = {
     "status_rollup": ROLLUP_SQL,
     "next_queued": QUEUE_SQL,
     "metadata_filter": METADATA_SQL,
+    "metadata_contains": CONTAIN_SQL,
+    "metadata_contains_index": CONTAIN_SQL,
     "latest_status": LATEST_SQL,
     "stream_latest_status": LATEST_SQL,
     "stream_status_view": VIEW_SQL,
