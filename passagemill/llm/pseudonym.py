@@ -1,9 +1,9 @@
 """Format-preserving pseudonyms for personal data, by column expressions only.
 
-Numbers and dates that pass their check (Luhn, mod 97, octets, calendar, number plans) and
+Numbers and dates that pass their check (Luhn, mod 97, octets, groups, calendar, number plans) and
 mail addresses are replaced by a keyed permutation within their own format: a Feistel
 network over the value's halves, character by character modulo the size of the character's
-class. Equal values get equal pseudonyms in every document, different values different
+class, with a hash of the key as its round function. Equal values get equal pseudonyms in every document, different values different
 ones; check digits are made anew so pseudonyms pass the same check. Values that fail
 their check stay.
 """
@@ -22,7 +22,27 @@ FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
 _DAYS = 73049  # from the first to the last of them, both included
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# Lengths of account numbers by country, as their public registry lists them.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _account_pattern() -> str:
+    """Without blanks by any country; in groups of four as long as the country's numbers are, so that nothing behind is taken in."""
+    grouped = "|".join(
+        f"(?:{lands})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, lands in ACCOUNT_LENGTHS.items()
+    )
+    return rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{grouped})(?![A-Za-z0-9])"
+
+
+IBAN = _account_pattern()
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer with one gap.
+ADDRESS6 = rf"(?<![0-9A-Za-z:.])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:]|\.[0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -47,12 +67,18 @@ def _phone_pattern() -> str:
 
 
 PHONE = _phone_pattern()
-CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])"
+CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})(?![0-9A-Za-z])"
 #: In the order in which they are tried at one place.
-PATTERNS = {"mail": MAIL, "iban": IBAN, "address": ADDRESS, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
+PATTERNS = {"mail": MAIL, "iban": IBAN, "address": ADDRESS, "address6": ADDRESS6, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def _mixed(key: str, tweak: str, *parts: Column) -> Column:
+    """60 bits of a cryptographic hash of the key and the parts, which without the key tell nothing of a value."""
+    said = F.concat_ws("|", F.lit(f"{key}/{tweak}"), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("long")
+
+
 def permuted(value: Column, key: str, tweak: str) -> Column:
     """A keyed permutation of the strings with this pattern of digits, letters and other characters."""
     half = F.floor(F.length(value) / 2).cast("int")
@@ -70,11 +96,11 @@ def permuted(value: Column, key: str, tweak: str) -> Column:
 
 def _turned(part: Column, other: Column, key: str, turn: Column, tweak: str) -> Column:
     def move(char: Column, i: Column) -> Column:
-        by = F.pmod(F.xxhash64(F.lit(f"{key}/{tweak}"), turn, i, other), F.lit(2**31 - 1))
+        by = _mixed(key, tweak, turn, i, other)
         at = F.ascii(char)
 
         def within(first: str, size: int) -> Column:
-            return F.char(F.pmod(at - ord(first) + by, F.lit(size)) + ord(first))
+            return F.char(F.pmod(at - ord(first) + F.pmod(by, F.lit(size)), F.lit(size)) + ord(first))
 
         return (
             F.when(at.between(48, 57), within("0", 10))
@@ -127,11 +153,14 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    land, rest = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
-    valid = _mod97(F.concat(rest, land, F.substring(value, 3, 2))) == 1
+    """With and without blanks alike; blanks stand again where they stood."""
+    whole = F.regexp_replace(value, " ", "")
+    land, rest = F.substring(whole, 1, 2), F.substring(whole, F.lit(5), F.length(whole))
+    valid = _mod97(F.concat(rest, land, F.substring(whole, 3, 2))) == 1
     new = permuted(rest, key, "iban")
     check = F.lpad((98 - _mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, F.concat(land, check, new))
+    made = F.concat(land, check, new)
+    return F.when(valid, F.when(value.contains(" "), F.regexp_replace(made, "(.{4})(?=.)", "$1 ")).otherwise(made))
 
 
 def _address(value: Column, key: str) -> Column:
@@ -142,7 +171,7 @@ def _address(value: Column, key: str) -> Column:
         F.struct((octets[0] * 256 + octets[1]).alias("l"), (octets[2] * 256 + octets[3]).alias("r")),
         lambda s, turn: F.struct(
             s["r"].alias("l"),
-            s["l"].bitwiseXOR(F.pmod(F.xxhash64(F.lit(f"{key}/address"), turn, s["r"]), F.lit(65536)).cast("int")).alias("r"),
+            s["l"].bitwiseXOR(F.pmod(_mixed(key, "address", turn, s["r"]), F.lit(65536)).cast("int")).alias("r"),
         ),
     )
     parts = [F.floor(state["l"] / 256), state["l"] % 256, F.floor(state["r"] / 256), state["r"] % 256]
@@ -152,6 +181,33 @@ def _address(value: Column, key: str) -> Column:
     )
 
 
+def _address6(value: Column, key: str) -> Column:
+    """All spellings of an address alike: eight groups in a Feistel network of two 64-bit halves.
+
+    Without eight groups there must be a gap and from three to seven groups, one of them with a digit: ``a::b`` is a name.
+    """
+    sides = F.split(F.lower(value), "::", -1)
+    groups = F.transform(sides, lambda side: F.filter(F.split(side, ":"), lambda g: g != ""))
+    left, right = groups[0], F.coalesce(F.get(groups, F.lit(1)), F.array().cast("array<string>"))
+    known = F.size(left) + F.size(right)
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - known), right)
+    digits = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")
+
+    def half(first: int) -> Column:
+        return F.conv(F.substring(digits, first, 16), 16, -10).cast("long")
+
+    def turned(s: Column, turn: Column) -> Column:
+        low = F.pmod(_mixed(key, "address6", turn, s["r"], F.lit("low")), F.lit(16))
+        by = F.shiftleft(_mixed(key, "address6", turn, s["r"], F.lit("high")), 4).bitwiseOR(low)
+        return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(by).alias("r"))
+
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(half(1).alias("l"), half(17).alias("r")), turned)
+    new = F.lower(F.concat(F.lpad(F.hex(state["l"]), 16, "0"), F.lpad(F.hex(state["r"]), 16, "0")))
+    parts = F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda at: F.regexp_replace(F.substring(new, at, F.lit(4)), "^0{1,3}", ""))
+    valid = ((F.size(sides) == 1) & (known == 8)) | ((F.size(sides) == 2) & known.between(3, 7))
+    return F.when(valid & value.rlike("[0-9]"), F.array_join(parts, ":"))
+
+
 def _day(day: Column, key: str) -> Column:
     """A day number below _DAYS moved to another: two digits groups of base 271 in turn, walked until in range."""
     base = 271  # 271 * 271 is the least square above _DAYS
@@ -162,7 +218,7 @@ def _day(day: Column, key: str) -> Column:
             F.struct(F.floor(x / base).cast("int").alias("l"), (x % base).cast("int").alias("r")),
             lambda s, turn: F.struct(
                 s["r"].alias("l"),
-                F.pmod(s["l"] + F.pmod(F.xxhash64(F.lit(f"{key}/date"), turn, s["r"]), F.lit(base)).cast("int"), F.lit(base)).alias("r"),
+                F.pmod(s["l"] + F.pmod(_mixed(key, "date", turn, s["r"]), F.lit(base)).cast("int"), F.lit(base)).alias("r"),
             ),
         )
         return state["l"] * base + state["r"]
@@ -214,7 +270,7 @@ def _mail(value: Column, key: str) -> Column:
 
 
 _MAKERS: dict[str, Callable[[Column, str], Column]] = {
-    "mail": _mail, "iban": _iban, "address": _address, "date": _date, "social": _social, "phone": _phone, "card": _card,
+    "mail": _mail, "iban": _iban, "address": _address, "address6": _address6, "date": _date, "social": _social, "phone": _phone, "card": _card,
 }
 
 

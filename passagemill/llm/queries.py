@@ -10,7 +10,12 @@ from passagemill.llm import (
 )
 from passagemill.llm.shared import table
 
-PSEUDONYM_KEY = "linked-across-documents"
+#: The setting that holds the key of pseudonyms, and the key of sessions that have none: known to every reader, so for tests only.
+PSEUDONYM_SETTING, PSEUDONYM_KEY = "spark.passagemill.pseudonym.key", "linked-across-documents"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(PSEUDONYM_SETTING, PSEUDONYM_KEY)
 
 
 def byte_bpe_path() -> str:
@@ -39,7 +44,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonym.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return pseudonym.report(table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
