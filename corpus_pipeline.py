@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import bpe, decontam, pseudonym, quality, similar
-from passagemill.llm.queries import PSEUDONYM_KEY, byte_bpe_path
+from passagemill.llm.queries import byte_bpe_path, pseudonym_key
 from passagemill.llm.shared import stored, table
 
 
@@ -33,7 +33,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms in their texts."""
-    done = pseudonym.replace_personal(docs, PSEUDONYM_KEY).drop("personal")
+    done = pseudonym.replace_personal(docs, pseudonym_key(spark)).drop("personal")
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
