@@ -138,9 +138,9 @@ def _exchange(blocks: DataFrame, bits: int, rule: KatzRule) -> DataFrame:
         keys, pair_n, *_ = _pairs(words, number, row, trains)
         wcut, pcut = cuts(words, bits), cuts(keys, bits)
         block = part["block"][0].as_py()
-        at = range(1 << bits)
+        at = np.flatnonzero((np.diff(wcut) > 0) | (np.diff(pcut) > 0)).tolist()  # a block asks only buckets it has keys for
         return pa.table({
-            "bucket": pa.array(list(at), pa.int32()),
+            "bucket": pa.array(at, pa.int32()),
             "block": pa.array([block] * len(at), pa.int32()),
             **{n: pa.array([v[c[b] : c[b + 1]].tobytes() for b in at], pa.binary())
                for n, v, c in (("words", words, wcut), ("word_n", word_n, wcut), ("pairs", keys, pcut), ("pair_n", pair_n, pcut))},
@@ -205,7 +205,8 @@ def score_documents(
         F.coalesce(trains, F.lit(False)).alias("trains"),
     )
     n_blocks, bits = sizes(text_bytes(base))
-    base = in_blocks(base, n_blocks)
+    # rows that share an id, or have none, spread by their texts
+    base = in_blocks(base, n_blocks, "doc_id", "text")
     totals = stored(_exchange(base, bits, rule), "totals")
     finished(spark)
     stats = [r.asDict() for r in totals.where("kind = 'stat'").groupBy("rank").agg(

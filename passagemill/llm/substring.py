@@ -196,7 +196,8 @@ def remove_repeats(
     base = id_text(docs, id_col, text_col)
     blocks, bits = sizes(text_bytes(base))
     levels = lengths(window, first)
-    base = in_blocks(base, blocks)
+    # rows that share an id, or have none, spread by their texts
+    base = in_blocks(base, blocks, "doc_id", "text")
     left = window - levels[0] + 1
 
     def candidates(key: tuple, part: pa.Table, flags: pa.Table) -> pa.Table:
