@@ -35,6 +35,8 @@ class EngineConfig:
 
     # Tasks of a search scan; None keeps one per split of the chunk table.
     scan_tasks: int | None = None
+    # Parts in which a question's rows from all tasks are cut before they meet.
+    merge_parts: int = 32
 
     def __post_init__(self) -> None:
         if self.chunk_size < 1:
@@ -43,8 +45,8 @@ class EngineConfig:
             raise ValueError("chunk_overlap must be in [0, chunk_size): the window would not advance")
         if not 1 <= self.top_k <= 50:
             raise ValueError("top_k must be in 1..50")
-        if self.pool_size < 1 or self.embed_batch < 1 or self.rerank_batch < 1 or self.rerank_max_tokens < 1:
-            raise ValueError("pool_size, batch sizes and token limits must be at least 1")
+        if self.pool_size < 1 or self.embed_batch < 1 or self.rerank_batch < 1 or self.rerank_max_tokens < 1 or self.merge_parts < 1:
+            raise ValueError("pool_size, batch sizes, token limits and merge_parts must be at least 1")
         if not -1.0 <= self.min_score <= 1.0:
             raise ValueError("min_score is a cosine and must be in [-1, 1]")
 

@@ -148,6 +148,35 @@ def token_windows(body: Column, cfg: EngineConfig, tokenize: Tokenizer = word_to
     return let(tokenize(body), cut)
 
 
+class SubwordCodec:
+    """A byte-pair vocabulary file, read by each Python worker when it first needs it; only the path travels.
+
+    ``path`` is a file of the ``tokenizers`` library that every executor can read.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        self._model = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "_model": None}
+
+    def _loaded(self):
+        if self._model is None:
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(self.path)
+            self._model.no_truncation()
+            self._model.no_padding()
+        return self._model
+
+    def encode(self, text: str) -> list[int]:
+        return self._loaded().encode(text, add_special_tokens=False).ids
+
+    def decode(self, ids: list[int]) -> str:
+        return self._loaded().decode(ids, skip_special_tokens=False)
+
+
 def encoder_windows(encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], cfg: EngineConfig):
     """Windows over a subword encoder's ids, as a vectorised function of the body.
 

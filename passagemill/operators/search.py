@@ -289,12 +289,19 @@ def best_rows_by_blocks(chunks: DataFrame, probes: DataFrame, cfg: EngineConfig,
 
 
 def rank_hits(hits: DataFrame, questions: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Merge the tasks' best rows into one ranked pool per question."""
-    order = Window.partitionBy("question_id").orderBy(
-        F.col("score").desc(), "document_id", "chunk_index"
-    )
+    """Merge the tasks' best rows into one ranked pool per question.
+
+    Every task may send a whole pool of a question, so its rows are cut in ``cfg.merge_parts``
+    parts by a hash of their keys first; what the parts keep is ranked together. One task then holds
+    tasks x pool / parts rows of a question, and after that parts x pool.
+    """
+    best_first = [F.col("score").desc(), F.col("document_id"), F.col("chunk_index")]
     widest = questions.agg(F.max("pool").alias("p")).first()["p"] or 0
-    ranked = hits.withColumn("ann_rank", F.row_number().over(order)).filter(F.col("ann_rank") <= widest)
+    part = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(cfg.merge_parts))
+    in_part = Window.partitionBy("question_id", "_part").orderBy(*best_first)
+    cut = hits.withColumn("_part", part).withColumn("_place", F.row_number().over(in_part)).filter(F.col("_place") <= widest)
+    order = Window.partitionBy("question_id").orderBy(*best_first)
+    ranked = cut.drop("_part", "_place").withColumn("ann_rank", F.row_number().over(order)).filter(F.col("ann_rank") <= widest)
     limits = broadcast_if_bounded(questions.select("question_id", "pool", "top_k"), cfg.broadcast_bytes)
     return ranked.join(limits, "question_id").filter(F.col("ann_rank") <= F.col("pool"))
 

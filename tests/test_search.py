@@ -1,5 +1,7 @@
 """Search against brute force: ties, scopes, gates, reranking, hot groups, blocks, cells."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from passagemill.functions.vectors import cosine
 from passagemill.operators.embed import embed_questions
 from passagemill.operators.ann import ann_join, assign_cells, recall, train_cells
 from passagemill.operators.rerank import pair_scorer, rerank
-from passagemill.operators.search import knn_join, knn_topk, scope_filter, score_gate, visible_chunks
+from passagemill.operators.search import knn_join, knn_topk, rank_hits, scope_filter, score_gate, visible_chunks
 from passagemill.plans.retrieve import answer_inputs, retrieve
 
 DIM = 8
@@ -94,6 +96,26 @@ def test_grouped_scan_gives_the_same(spark):
     assert found(knn_join(c, q, grouped)) == found(knn_join(c, q, CFG))
 
 
+def test_parts_of_a_question_merge_to_the_same(spark):
+    """Nearly all rows are one question's, a third of them tied: parts by key first, then their best together."""
+    hits = spark.range(60_000, numPartitions=40).select(
+        F.when(F.col("id") < 59_000, "q0").otherwise("q1").alias("question_id"), F.concat(F.lit("d"), (F.col("id") % 700).cast("string")).alias("document_id"),
+        (F.col("id") / 700).cast("int").alias("chunk_index"),
+        F.when(F.col("id") % 3 == 0, 0.999).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("score"),
+    )
+    questions = spark.createDataFrame([("q0", 50, 6), ("q1", 9, 6)], "question_id string, pool int, top_k int")
+    cfg = [EngineConfig(merge_parts=n) for n in (1, 7, 32)]
+    first, *others = [found(rank_hits(hits, questions, c)) for c in cfg]
+    every = sorted(hits.collect(), key=lambda r: (-r["score"], r["document_id"], r["chunk_index"]))
+    want = [(q, i + 1, r["document_id"], r["chunk_index"], r["score"])
+            for q, pool in (("q0", 50), ("q1", 9)) for i, r in enumerate([r for r in every if r["question_id"] == q][:pool])]
+    assert first == want
+    assert others == [first, first]
+    plan = rank_hits(hits, questions, cfg[2])._jdf.queryExecution().executedPlan().toString()
+    # before either exchange each task cuts to the pool, and the first exchange is by question and part
+    assert plan.count("WindowGroupLimit") == 4 and re.search(r"hashpartitioning\(question_id#\d+, _part#", plan)
+
+
 def test_wide_requests_are_not_cut(spark):
     """A request beyond the usual limit, if let through, is answered whole."""
     chunks, questions = data(9)

@@ -150,6 +150,43 @@ def test_byte_encoder(spark):
     assert got == ["abcdefghij", "ijklmnopqr", "qrstuvwxyz"]
 
 
+def test_subword_chunks(spark):
+    """Windows over the ids of a byte-pair vocabulary: every row of the query against the rules said once more."""
+    pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    from workload.ingesting import chunk_subwords, subword_path
+
+    model = Tokenizer.from_file(subword_path())
+    model.no_truncation()
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = []
+    for r in rows:
+        body = (r["text"] or "").strip()
+        ids = model.encode(body, add_special_tokens=False).ids
+        cfg = EngineConfig()
+        at = 0
+        for n in range(0, 1 << 30):
+            piece = ids[at : at + cfg.chunk_size]
+            if body:
+                text = body if len(ids) <= cfg.chunk_size else model.decode(piece, skip_special_tokens=False)
+                want.append((str(r["doc_id"]), n, text, len(piece)))
+            if at + cfg.chunk_size >= len(ids):
+                break
+            at += cfg.stride
+    assert not any(re.search(r"(?m)^#{1,3}\s", r["text"] or "") for r in rows)  # these texts have no headings
+    got = [(r["document_id"], r["chunk_index"], r["content"], r["token_count"]) for r in chunk_subwords(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and len({w[0] for w in want}) < len(want)
+
+
+def test_subword_codec_travels_as_a_path():
+    import pickle
+
+    codec = txt.SubwordCodec("/nowhere/vocabulary.json")
+    codec._model = object()
+    assert vars(pickle.loads(pickle.dumps(codec))) == {"path": "/nowhere/vocabulary.json", "_model": None}
+
+
 SENTENCE_CASES = [
     ("Yes. This is a long enough sentence. Tail", ["This is a long enough sentence.", "Tail"]),
     ("A long enough sentence here. Ok. ", ["A long enough sentence here.", "Ok."]),

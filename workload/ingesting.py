@@ -12,7 +12,7 @@ from passagemill.config import EngineConfig
 from passagemill.functions import text as txt
 from passagemill.functions.vectors import HashedWords, micro_text
 from passagemill.functions.wording import embedding_input
-from passagemill.operators.chunk import chunk_documents, section_rows
+from passagemill.operators.chunk import chunk_documents, chunk_documents_encoded, section_rows
 from passagemill.operators.embed import attach_vectors, embed_chunks
 from passagemill.operators.ordering import carry_forward
 from passagemill.operators.parse import assemble_pages, document_markdown, html_to_markdown, parse_files
@@ -244,6 +244,18 @@ def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_documents(st.conversation_texts(spark, sf), SMALL)
 
 
+def subword_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def chunk_subwords(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks cut by the tokens of a byte-pair vocabulary; a Python encoder, so tests hold it against a plain restatement."""
+    codec = txt.SubwordCodec(subword_path())
+    return chunk_documents_encoded(st.document_texts(spark, sf), txt.encoder_windows(codec.encode, codec.decode, CFG))
+
+
 CONV_CHUNKS = ",\n".join(
     [st.CONV_PAGES, st.CONV_TEXTS, st.sections_ctes("conv_texts", "sec"), st.chunks_ctes("sec", "chunks", SMALL)]
 )
@@ -489,6 +501,7 @@ QUERIES = {
     "token_counts": token_counts,
     "chunk_documents": chunk_texts,
     "chunk_markdown": chunk_markdown,
+    "chunk_subwords": chunk_subwords,
     "page_carry": page_carry,
     "embedding_input": embedding_inputs,
     "embed_chunks": embedded_texts,
