@@ -30,7 +30,7 @@ class EngineConfig:
 
     # A table is broadcast only when its measured size is at most this.
     broadcast_bytes: int = 64 * 1024 * 1024
-    # Vector bytes per chunk block when questions are too many to broadcast.
+    # Vector bytes of the chunks that a task scores at once when questions are too many to broadcast.
     chunk_block_bytes: int = 256 * 1024 * 1024
 
     # Tasks of a search scan; None keeps one per split of the chunk table.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..session import is_bounded, stored
-from .search import SCOPES, QuestionBlock, best_rows_by_blocks, best_rows_of, rank_hits, visible_chunks, with_defaults
+from .search import SCOPES, Asked, QuestionBlock, best_rows_by_blocks, best_rows_of, rank_hits, visible_chunks, with_defaults
 
 
 @dataclass(frozen=True)
@@ -84,8 +84,8 @@ def ann_join(
 ) -> DataFrame:
     """Like the exact join, but each question scores only its ``probes`` nearest cells.
 
-    Only cells that some question probes are read. Questions beyond the
-    broadcast limit meet the chunks of their cells block by block. A question
+    Questions beyond the broadcast limit meet the chunks in blocks, and a task still scores only
+    the cells that a question probes; else cells that no question probes are not read. A question
     whose vector failed or has another width has no hits.
     """
     width = index.centroids.shape[1]
@@ -102,20 +102,21 @@ def ann_join(
         if name not in names:
             narrow = narrow.withColumn(name, F.lit(None).cast("string"))
 
-    if not is_bounded(asked, cfg.broadcast_bytes):
+    size = Asked.of(asked)
+    if size.held > cfg.broadcast_bytes or not is_bounded(asked, cfg.broadcast_bytes):
 
         @F.pandas_udf("array<int>")
         def cells_of(vectors: pd.Series) -> pd.Series:
             matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
             return pd.Series([np.flatnonzero(row).astype(np.int32) for row in index.nearest(matrix, probes)])
 
-        probing = asked.withColumn("cell", F.explode(cells_of("q_vec")))
-        return rank_hits(best_rows_by_blocks(narrow, probing, cfg, None), asked, cfg)
+        probing = asked.withColumn("cells", cells_of("q_vec"))
+        return rank_hits(best_rows_by_blocks(narrow, probing, size, cfg, None), asked, cfg)
 
     rows = asked.toPandas()
     vectors = np.array([np.asarray(v, dtype=np.float64) for v in rows["q_vec"]]).reshape(len(rows), width)
     mask = index.nearest(vectors, probes)
-    rows["cells"] = list(mask)
+    rows["cells"] = [np.flatnonzero(row).astype(np.int32) for row in mask]
     probed = [int(c) for c in np.flatnonzero(mask.any(axis=0))]
     block = celled.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(rows)))
     return rank_hits(best_rows_of(narrow.filter(F.col("cell").isin(probed)), block, None, cfg), asked, cfg)

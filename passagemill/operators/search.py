@@ -1,10 +1,10 @@
 """Exact nearest chunks for one question or a table of questions.
 
 Chunks are never shuffled for the search: every task scores its own Arrow
-batches against the questions with one matrix product and keeps only the best
+batches against the questions with matrix products and keeps only the best
 rows per question, so what leaves a task is bounded by questions x pool.
-Questions are held by each task only after their size has been measured; a
-larger table is searched block by block instead.
+Questions are held by each task only after their size and that of their pools has
+been measured; a larger table is searched block by block instead.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ class QuestionBlock:
     vectors: np.ndarray
     pools: np.ndarray
     scopes: dict[str, np.ndarray]
+    # The cells that each question probes, as many for every one.
     cells: np.ndarray | None = None
 
     @classmethod
@@ -106,7 +107,7 @@ class QuestionBlock:
             vectors=vectors[usable] / lengths[usable, None],
             pools=kept["pool"].to_numpy(dtype=np.int64),
             scopes={name: kept[name].to_numpy(dtype=object) for name in SCOPES if kept[name].notna().any()},
-            cells=np.array(list(kept["cells"])) if "cells" in kept else None,
+            cells=np.array(list(kept["cells"]), dtype=np.int32) if "cells" in kept else None,
         )
 
 
@@ -129,95 +130,141 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BestRows:
-    """The running best rows per question over the batches of one task."""
+    """The running best rows per question over the batches of one task.
 
-    # Numbers held at once: scores (questions x rows) and vectors (rows x width).
+    A product in single precision finds the rows that can reach a question's floor, with a margin above
+    its largest error; only those are scored in double precision. They wait until there are as many as the
+    best rows, then both are cut together, so the floors rise after every doubling of the rows seen.
+    """
+
+    # Questions and rows of one product.
+    TILE = 1024
+    # Numbers held at once where single rows are scored.
     CELLS = 4_000_000
+    # Rows that wait at least before they are cut.
+    WAIT = 100_000
 
-    def __init__(self, block: QuestionBlock, min_score: float | None):
+    def __init__(self, block: QuestionBlock, min_score: float | None, rows_at_once: int = TILE):
         self.block = block
-        self.min_score = -np.inf if min_score is None else min_score
-        self.floor = np.full(len(block.ids), -np.inf)
-        self.best = pd.DataFrame({"q": [], "score": [], "document_id": [], "chunk_index": []})
+        self.step = max(1, min(self.TILE, rows_at_once))
+        self.floor = np.full(len(block.ids), -np.inf if min_score is None else min_score)
+        self.narrow = block.vectors.astype(np.float32)
+        self.margin = 2 * (block.vectors.shape[1] + 8) * 2.0**-23
+        self.wanted = {}
+        for name, wanted in block.scopes.items():
+            levels = pd.Index(pd.unique(wanted[pd.notna(wanted)]))
+            self.wanted[name] = (levels, np.where(pd.notna(wanted), levels.get_indexer(wanted), -1).astype(np.int32))
+        self.probing: dict[int, np.ndarray] = {}
+        self.room = np.empty(min(len(block.ids), self.TILE) * self.step, np.float32)
+        self.best = (np.empty(0, np.int64), np.empty(0), np.empty(0, object), np.empty(0, np.int32))
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         if not len(self.block.ids):
             return
-        step = max(1, self.CELLS // max(self.block.vectors.shape))
-        for at in range(0, batch.num_rows, step):
-            self._add_rows(batch.slice(at, step))
+        for at in range(0, batch.num_rows, self.step):
+            self._add_rows(batch.slice(at, self.step))
 
     def _add_rows(self, batch: pa.RecordBatch) -> None:
         rows, matrix = _matrix(batch.column("embedding"), self.block.vectors.shape[1])
-        if not len(rows):
-            return
         lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         usable = np.isfinite(lengths) & (lengths > 0)
         if not usable.all():
             rows, matrix, lengths = rows[usable], matrix[usable], lengths[usable]
-        names = ["document_id", "chunk_index", *self.block.scopes]
-        if self.block.cells is not None:
-            names.append("cell")
-        table = batch.select(list(dict.fromkeys(names)))
+        if not len(rows):
+            return
+        table = batch.select(["document_id", "chunk_index", *(n for n in self.wanted if n != "document_id")])
         if len(rows) < batch.num_rows:
             table = table.take(pa.array(rows))
-        if len(rows):
-            self._score(matrix, lengths, table.to_pandas())
-
-    def _allowed(self, table: pd.DataFrame) -> np.ndarray | None:
-        allowed = None
-        for name, wanted in self.block.scopes.items():
-            levels = pd.Index(pd.unique(wanted[pd.notna(wanted)]))
-            ask = np.where(pd.notna(wanted), levels.get_indexer(wanted), -1)
-            have = levels.get_indexer(table[name])
-            same = (ask[:, None] == -1) | (ask[:, None] == have[None, :])
-            allowed = same if allowed is None else allowed & same
-        if self.block.cells is not None:
-            probed = self.block.cells[:, table["cell"].to_numpy()]
-            allowed = probed if allowed is None else allowed & probed
-        return allowed
-
-    def _score(self, matrix: np.ndarray, lengths: np.ndarray, table: pd.DataFrame) -> None:
-        scores = np.round(self.block.vectors @ matrix.T / lengths, SCORE_DIGITS)
-        allowed = self._allowed(table)
-        if allowed is not None:
-            scores[~allowed] = -np.inf
-        k = int(self.block.pools.max())
-        floor = np.maximum(self.floor, self.min_score)
-        if scores.shape[1] > k and np.count_nonzero(scores >= floor[:, None]) > k * len(floor):
-            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            floor = np.maximum(floor, kth)
-        q, r = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        matrix /= lengths[:, None]
+        keys = (table.column("document_id").to_numpy(zero_copy_only=False), table.column("chunk_index").to_numpy(zero_copy_only=False))
+        have = {
+            name: levels.get_indexer(table.column(name).to_numpy(zero_copy_only=False)).astype(np.int32)
+            for name, (levels, _) in self.wanted.items()
+        }
+        if self.block.cells is None:
+            self._add_cell(np.arange(len(self.block.ids)), matrix, keys, have)
+            return
+        cells = batch.column("cell").to_numpy(zero_copy_only=False)[rows]
+        for cell in np.unique(cells):
+            own = np.flatnonzero(cells == cell)
+            self._add_cell(self._probing(int(cell)), matrix[own], tuple(k[own] for k in keys), {n: h[own] for n, h in have.items()})
+
+    def _probing(self, cell: int) -> np.ndarray:
+        if cell not in self.probing:
+            self.probing[cell] = np.flatnonzero((self.block.cells == cell).any(axis=1))
+        return self.probing[cell]
+
+    def _add_cell(self, asked: np.ndarray, matrix: np.ndarray, keys: tuple, have: dict[str, np.ndarray]) -> None:
+        small = np.ascontiguousarray(matrix.T, dtype=np.float32)
+        for at in range(0, len(asked), self.TILE):
+            self._score(asked[at : at + self.TILE], matrix, small, keys, have)
+            if self.n_waiting >= max(self.WAIT, len(self.best[0])):
+                self._cut()
+
+    def _score(self, asked: np.ndarray, matrix: np.ndarray, small: np.ndarray, keys: tuple, have: dict[str, np.ndarray]) -> None:
+        n = small.shape[1]
+        near = np.matmul(self.narrow[asked], small, out=self.room[: len(asked) * n].reshape(len(asked), n))
+        floor = self.floor[asked]
+        # a question without a full pool has no floor yet: its scope cuts first, then the best of these rows
+        open_ = np.flatnonzero(floor == -np.inf)
+        if len(open_):
+            part = near[open_]
+            for name, (_, ask) in self.wanted.items():
+                mine = ask[asked[open_]][:, None]
+                part[(mine != -1) & (mine != have[name])] = -np.inf
+            near[open_] = part
+            k = int(self.block.pools[asked[open_]].max())
+            if n > k:
+                floor[open_] = np.partition(part, n - k, axis=1)[:, n - k]
+        least = (floor - self.margin).astype(np.float32)
+        some = np.flatnonzero(near.max(axis=1) >= least)
+        part = near[some]
+        at = np.flatnonzero(part >= least[some, None])
+        q, r = np.divmod(at[part.ravel()[at] > -np.inf], n)
+        q = asked[some[q]]
+        for name, (_, ask) in self.wanted.items():
+            inside = (ask[q] == -1) | (ask[q] == have[name][r])
+            q, r = q[inside], r[inside]
+        step = max(1, self.CELLS // matrix.shape[1])
+        for at in range(0, len(q), step):
+            self._wait(q[at : at + step], r[at : at + step], matrix, keys)
+
+    def _wait(self, q: np.ndarray, r: np.ndarray, matrix: np.ndarray, keys: tuple) -> None:
+        scores = np.round(np.einsum("ij,ij->i", self.block.vectors[q], matrix[r]), SCORE_DIGITS)
+        kept = scores >= self.floor[q]
+        q, r = q[kept], r[kept]
+        self.waiting.append((q, scores[kept], keys[0][r], keys[1][r].astype(np.int32)))
+        self.n_waiting += len(q)
+
+    def _cut(self) -> None:
+        """The best rows among those kept and those waiting; equal scores by document, then chunk."""
+        q, score, document, chunk = (np.concatenate(c) for c in zip(self.best, *self.waiting))
+        self.waiting, self.n_waiting = [], 0
         if not len(q):
             return
-        found = pd.DataFrame(
-            {
-                "q": q,
-                "score": scores[q, r],
-                "document_id": table["document_id"].to_numpy()[r],
-                "chunk_index": table["chunk_index"].to_numpy()[r],
-            }
-        )
-        merged = found if self.best.empty else pd.concat([self.best, found], ignore_index=True)
-        merged = merged.sort_values(["q", "score", "document_id", "chunk_index"], ascending=[True, False, True, True])
-        rank = merged.groupby("q").cumcount().to_numpy()
-        merged = merged[rank < self.block.pools[merged["q"].to_numpy()]]
-        sizes = np.bincount(merged["q"], minlength=len(self.floor))
-        lowest = merged.groupby("q")["score"].last()
-        full = lowest[sizes[lowest.index] >= self.block.pools[lowest.index]]
-        self.floor[full.index] = full.to_numpy()
-        self.best = merged
-
-    def rows(self) -> pd.DataFrame:
-        ids = self.block.ids[self.best["q"].to_numpy(dtype=np.int64)]
-        return pd.DataFrame(
-            {
-                "question_id": ids,
-                "document_id": self.best["document_id"].to_numpy(dtype=object),
-                "chunk_index": self.best["chunk_index"].to_numpy().astype(np.int32),
-                "score": self.best["score"].to_numpy().astype(np.float64),
-            }
-        )
+        order = np.lexsort((-score, q))
+        same = (q[order][1:] == q[order][:-1]) & (score[order][1:] == score[order][:-1])
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if len(tied):
+            own = order[tied]
+            names = pd.factorize(document[own], sort=True)[0]
+            order[tied] = own[np.lexsort((chunk[own], names, -score[own], q[own]))]
+        sizes = np.bincount(q, minlength=len(self.floor))
+        first = np.cumsum(sizes) - sizes
+        order = order[np.arange(len(order)) - first[q[order]] < self.block.pools[q[order]]]
+        self.best = (q[order], score[order], document[order], chunk[order])
+        full = np.flatnonzero(sizes >= self.block.pools)
+        last = np.searchsorted(self.best[0], full, side="right") - 1
+        self.floor[full] = self.best[1][last]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self._cut()
+        for at in range(0, len(self.best[0]), 50_000):
+            q, score, document, chunk = (c[at : at + 50_000] for c in self.best)
+            found = [pa.array(self.block.ids[q], pa.string()), pa.array(document, pa.string()), pa.array(chunk), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(found, ["question_id", "document_id", "chunk_index", "score"])
 
 
 def best_rows_of(chunks: DataFrame, block: Broadcast, min_score: float | None, cfg: EngineConfig) -> DataFrame:
@@ -234,58 +281,85 @@ def best_rows_of(chunks: DataFrame, block: Broadcast, min_score: float | None, c
         best = BestRows(QuestionBlock(**block.value), min_score)
         for batch in batches:
             best.add(batch)
-        found = best.rows()
-        if len(found):
-            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+        yield from best.batches()
 
     return chunks.mapInArrow(scan, HIT_FIELDS)
 
 
-def best_rows_by_blocks(chunks: DataFrame, probes: DataFrame, cfg: EngineConfig, min_score: float | None) -> DataFrame:
-    """Search for any number of questions: blocks of chunks against blocks of questions.
+@dataclass(frozen=True)
+class Asked:
+    """What a table of questions takes: rows, numbers of a vector, the widest pool."""
 
-    ``chunks`` and ``probes`` meet by ``cell`` (the exact join has one). A cell is
-    cut into as many blocks of both sides as its counts ask for, and rows are
-    dealt to blocks by a hash of their unique keys, so blocks are even however
-    crowded a cell is. A task holds one block of each side and returns the best
-    rows per question.
+    rows: int
+    width: int
+    pool: int
+
+    # Bytes that a task may hold of a block of questions, however small the broadcast limit is.
+    TASK_BYTES = 64 * 1024 * 1024
+    # A pooled row in a task, and the same row when it moves.
+    POOLED, MOVED = 32, 40
+
+    @classmethod
+    def of(cls, asked: DataFrame) -> Asked:
+        row = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q_vec")).alias("w"), F.max("pool").alias("p")).first()
+        return cls(row["n"], max(row["w"] or 1, 1), max(row["p"] or 1, 1))
+
+    @property
+    def held(self) -> int:
+        """Bytes of all questions in a task: vectors and the pools that it fills."""
+        return self.rows * (8 * self.width + self.POOLED * self.pool + 64)
+
+    def grid(self, chunks: int, tasks: int) -> tuple[int, int]:
+        """Blocks of questions and parts of chunks: what moves least, with a task for every core and no block above its bytes."""
+        least = max(1, -(-self.held // self.TASK_BYTES))
+        a_question, a_chunk = 8 * self.width + self.MOVED * self.pool, 4 * self.width + 64
+
+        def moved(blocks: int) -> int:
+            return chunks * blocks * a_chunk + self.rows * -(-tasks // blocks) * a_question
+
+        blocks = min(range(least, max(least, tasks) + 1), key=moved)
+        return blocks, -(-tasks // blocks)
+
+
+def best_rows_by_blocks(chunks: DataFrame, asked: DataFrame, size: Asked, cfg: EngineConfig, min_score: float | None) -> DataFrame:
+    """Search for any number of questions: every block of questions meets every part of the chunks in a task.
+
+    Rows are dealt out by a hash of their unique keys. A task reads its questions first and holds them; the
+    chunks pass by. So memory is bounded by the block, and there are only as many blocks as that and the cores
+    ask for: what moves grows with the tables, not with their product.
     """
-    width = max(probes.agg(F.max(F.size("q_vec")).alias("w")).first()["w"] or 1, 1)
-    per_q = max(1, cfg.broadcast_bytes // (8 * width))
-    per_c = max(1, cfg.chunk_block_bytes // (4 * width))
-    q_counts = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_q)).alias("_qs"))
-    c_counts = chunks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_c)).alias("_cs"))
-    counts = stored(q_counts.join(c_counts, "cell"), "grid")
-    q_grid = broadcast_if_bounded(counts, cfg.broadcast_bytes)
-    c_grid = broadcast_if_bounded(counts.toDF("cell", "_qn", "_cn"), cfg.broadcast_bytes)
-
-    def all_blocks(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
-
-    q_side = (
-        probes.join(q_grid, "cell")
-        .withColumn("_q", F.pmod(F.xxhash64("question_id"), F.col("_qs")))
-        .withColumn("_c", all_blocks("_cs"))
-    )
-    c_side = (
-        chunks.join(c_grid, "cell")
-        .withColumn("_c", F.pmod(F.xxhash64("document_id", "chunk_index"), F.col("_cn")))
-        .withColumn("_q", all_blocks("_qn"))
-    )
+    spark = chunks.sparkSession
+    blocks, parts = size.grid(chunks.count(), spark.sparkContext.defaultParallelism)
+    rows_at_once = cfg.chunk_block_bytes // (4 * size.width)
 
-    def search(q_rows: pa.Table, c_rows: pa.Table) -> pa.Table:
-        schema = pa.schema(
-            [("question_id", pa.string()), ("document_id", pa.string()), ("chunk_index", pa.int32()), ("score", pa.float64())]
-        )
-        if not q_rows.num_rows or not c_rows.num_rows:
-            return schema.empty_table()
-        best = BestRows(QuestionBlock.of(q_rows.to_pandas()), min_score)
-        for batch in c_rows.combine_chunks().to_batches(max_chunksize=10_000):
-            best.add(batch)
-        return pa.Table.from_pandas(best.rows(), schema=schema, preserve_index=False)
+    def all_of(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    q_side = asked.drop("top_k").withColumns({"_side": F.lit(0), "_q": F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")})
+    c_side = chunks.withColumns({"_side": F.lit(1), "_c": F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(parts)).cast("int")})
+    both = q_side.withColumn("_c", all_of(parts)).unionByName(c_side.withColumn("_q", all_of(blocks)), allowMissingColumns=True)
+    order = ["_side", "cell"] if "cell" in both.columns else ["_side"]
+    dealt = both.repartitionById(blocks * parts, F.col("_q") * parts + F.col("_c")).sortWithinPartitions(*order)
+    of_question = [c for c in q_side.columns if not c.startswith("_")]
 
-    block = ["cell", "_q", "_c"]
-    return q_side.groupBy(*block).cogroup(c_side.groupBy(*block)).applyInArrow(search, HIT_FIELDS)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best = [], None
+        for batch in batches:
+            n = int(np.searchsorted(batch.column("_side").to_numpy(), 1))
+            if n:
+                held.append(batch.slice(0, n).select(of_question))
+            if n == batch.num_rows:
+                continue
+            if best is None:
+                if not held:
+                    return
+                best = BestRows(QuestionBlock.of(pa.Table.from_batches(held).to_pandas()), min_score, rows_at_once)
+                held = []
+            best.add(batch.slice(n))
+        if best is not None:
+            yield from best.batches()
+
+    return dealt.mapInArrow(search, HIT_FIELDS)
 
 
 def rank_hits(hits: DataFrame, questions: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -332,12 +406,12 @@ def knn_join(chunks: DataFrame, questions: DataFrame, cfg: EngineConfig, min_sco
     for name in ("collection", "user_id"):
         if name not in names:
             narrow = narrow.withColumn(name, F.lit(None).cast("string"))
-    if is_bounded(asked, cfg.broadcast_bytes):
+    size = Asked.of(asked)
+    if size.held <= cfg.broadcast_bytes and is_bounded(asked, cfg.broadcast_bytes):
         block = chunks.sparkSession.sparkContext.broadcast(vars(QuestionBlock.of(asked.toPandas())))
         hits = best_rows_of(narrow, block, min_score, cfg)
     else:
-        one = F.lit(0).alias("cell")
-        hits = best_rows_by_blocks(narrow.select("*", one), asked.select("*", one), cfg, min_score)
+        hits = best_rows_by_blocks(narrow, asked, size, cfg, min_score)
     return rank_hits(hits, asked, cfg)
 
 

@@ -89,6 +89,25 @@ def test_blocks_equal_broadcast(spark):
     assert found(knn_join(c, q, tight)) == found(knn_join(c, q, CFG))
 
 
+def shuffled(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    return store.executorSummary("driver").totalShuffleWrite()
+
+
+def test_blocks_move_no_more_than_the_tables_grow(spark):
+    """Three times the rows on both sides move about three times as much, however small the limits are."""
+    tight = EngineConfig(embedding_dim=DIM, pool_size=5, top_k=3, broadcast_bytes=DIM * 8 * 20, chunk_block_bytes=DIM * 4 * 20)
+    moved = []
+    for n in (400, 1200):
+        vectors = np.random.default_rng(n).normal(size=(n, DIM))
+        c = spark.createDataFrame([(f"d{i}", 0, v.tolist(), "c", "u") for i, v in enumerate(vectors)], CHUNK)
+        q = spark.createDataFrame([(f"q{i}", v.tolist(), "", None, "", 3) for i, v in enumerate(vectors)], QUESTION)
+        before = shuffled(spark)
+        assert knn_join(c, q, tight).count() == 5 * n
+        moved.append(shuffled(spark) - before)
+    assert 0 < moved[1] < 4 * moved[0]
+
+
 def test_grouped_scan_gives_the_same(spark):
     chunks, questions = data(8)
     c, q = spark.createDataFrame(chunks, CHUNK).repartition(9), spark.createDataFrame(questions, QUESTION)
