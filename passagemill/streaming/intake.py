@@ -43,9 +43,12 @@ def stream_file_intake(
     """Check every file of a stream; accepted rows with content go below ``accepted``, the others with their code below ``rejected``.
 
     A micro-batch writes one folder in each, named by its number and replaced as a whole, so a batch that is run again after a
-    crash leaves no row twice. Content of refused files is never loaded. ``after`` is called when both
+    crash leaves no row twice. Content above the upload limit is never loaded: the limit is a filter of the stream itself, where
+    the file source sees it; a micro-batch is given out as rows already read. ``after`` is called when both
     folders of a batch are written; ``accepted`` can itself be the source of ``stream_ingest``.
     """
+    large = files.filter(F.col("length") > cfg.max_upload_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    files = files.filter(F.col("length") <= cfg.max_upload_bytes).unionByName(large)
 
     def take(batch: DataFrame, number: int) -> None:
         checked = batch.withColumn("reject_code", upload_reason(F.col("mime"), F.col("length"), cfg))
