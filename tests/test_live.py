@@ -158,6 +158,15 @@ def test_content_above_the_limit_is_never_read(spark, tmp_path):
     assert [(r["filename"], r["reject_code"]) for r in taken(spark, str(tmp_path / "root"), REJECTED).collect()] == [("large.pdf", 413)]
 
 
+def test_a_table_in_a_folder_of_files_is_ingested(spark, tmp_path):
+    from workload.ingesting import streamed_ingest
+
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", "src1", 13) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [r["n_chunks"] for r in streamed_ingest(spark, str(tmp_path)).collect()] == [1] * 9
+
+
 def test_framing_in_any_order(spark, tmp_path):
     cite = [(1, "d", "f.md", None, "H", 0.5)]
     inputs = [("a", cite, None, None), ("b", [], "nothing", None), ("c", None, None, "refused"), ("d", cite, None, None), ("e", cite, None, None), ("g", cite, None, None)]

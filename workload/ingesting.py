@@ -382,7 +382,8 @@ def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
     root = new_run_dir(spark, "stream-ingest")
     tables = Tables(spark, root).create_if_missing()
     schema = table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # one file or a folder of files: a filter by file name finds nothing in a folder, and a plain path must be a folder
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/documents[.]parquet")
     known = registered_rows(spark, sf)
     unreadable = known.select("document_id", F.col("error_message").alias("error"))
 
