@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as txt
-from ..session import stored
+from ..session import small_batches, stored
 from .ordering import carry_forward, running_total
 
 
@@ -68,6 +68,7 @@ def chunk_documents_encoded(
     stored once. Chunk numbers and carried pages come from one narrow row per
     section, so a long document is spread over all tasks.
     """
+    small_batches(docs.sparkSession)
     sections = section_rows(docs, key, markdown)
     cut = stored(
         sections.select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.vectors import HashedWords
 from ..functions.wording import embedding_input
+from ..session import small_batches
 
 EmbedFn = Callable[[list[str]], list[np.ndarray]]
 
@@ -77,6 +78,7 @@ def embed_chunks(
     chunks: DataFrame, cfg: EngineConfig, make_model: Callable[[], EmbedFn] | None = None
 ) -> DataFrame:
     """Add ``embedding`` and ``embed_error``; needs original_filename, heading and content."""
+    small_batches(chunks.sparkSession)
     text = embedding_input(F.col("original_filename"), F.col("heading"), F.col("content"))
     out = chunks.withColumn("_e", embedder(cfg, make_model)(text))
     return out.withColumn("embedding", F.col("_e.vector")).withColumn("embed_error", F.col("_e.error")).drop("_e")
@@ -86,6 +88,7 @@ def embed_questions(
     questions: DataFrame, cfg: EngineConfig, make_model: Callable[[], EmbedFn] | None = None
 ) -> DataFrame:
     """Add ``q_vec`` and ``embed_error``; the question text is embedded as it is."""
+    small_batches(questions.sparkSession)
     out = questions.withColumn("_e", embedder(cfg, make_model)(F.col("question")))
     return out.withColumn("q_vec", F.col("_e.vector")).withColumn("embed_error", F.col("_e.error")).drop("_e")
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 4 * 1024 * 1024
+SPARKS_BATCH = "67108864b"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the session names, else one in its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -43,6 +47,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python workers in batches of at most ``BATCH_BYTES`` (one row at least), however many rows a task has.
+
+    A worker holds a batch, its texts as Python objects and the results together. A session that sets
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` itself keeps its value.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == SPARKS_BATCH:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def is_bounded(df: DataFrame, limit_bytes: int) -> bool:
     """Measure a narrow table; true when its values fit in ``limit_bytes``."""
     width = F.lit(16)

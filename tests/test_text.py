@@ -257,3 +257,18 @@ def test_source_labels(spark):
     assert [r[0] for r in df.select(shown).collect()] == [
         "[1] f - p.3 - H (score 0.83)", "[1] f (score 0.83)", "[1] f (score 0.83)",
     ]
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """40 MB of one task's texts: no batch above 4 MB and a row, after the embedder or the encoder was asked for."""
+    import pandas as pd
+
+    from passagemill.operators.embed import embed_questions
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    rows = spark.range(0, 2000, 1, 1).select(F.col("id").cast("string").alias("question_id"), F.repeat(F.lit("x"), 20_000).alias("question"))
+    embed_questions(rows, EngineConfig())
+    assert rows.select(together("question").alias("n")).agg(F.max("n")).first()[0] <= 4 * 1024 * 1024 + 20_000
