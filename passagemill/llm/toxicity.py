@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm import words as W
-from passagemill.llm.shared import chunks
+from passagemill.llm.shared import chunks, finished
 
 _BITS = 20  # of the numbers that words and n-grams hash to
 _GRAMS = (3, 4, 5, 6)  # bytes, with a mark before and after the word
 _EMB, _HIDDEN, _POOL = 8, 8, 8
 _PIECE = 1 << 13  # words whose n-grams are looked up at once
+_RUN = 1 << 19  # bytes of texts whose words are found at once
 
 
 @dataclass(frozen=True)
@@ -53,34 +54,42 @@ class Words:
     """Distinct words of some texts: their numbers and those of their n-grams; the words of each text."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
-        buf = W.LOWER[buf]
-        starts, ends, doc = W.spans(buf, off)
-        self.bounds = np.searchsorted(doc, np.arange(len(off)))
-        hashes = np.zeros(len(starts), np.uint64)
-        for a, b in chunks(np.diff(off), W.CHUNK_BYTES):
-            mine = slice(self.bounds[a], self.bounds[b])
-            hashes[mine] = W.span_hash(W.prefix(buf[off[a] : off[b]]), starts[mine] - off[a], ends[mine] - off[a])
-        unique, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        self.number = number.astype(np.int32)
-        del hashes, number, doc
+        # a few texts at a time, so that only a number stays of each word that repeats
+        hashes, starts, sizes, numbers, bounds, n_words = [], [], [], [], [], 0
+        for a, b in chunks(np.diff(off), _RUN):
+            part = W.LOWER[buf[off[a] : off[b]]]
+            start, end, doc = W.spans(part, off[a : b + 1] - off[a])
+            bounds.append(np.searchsorted(doc, np.arange(b - a)) + n_words)
+            n_words += len(start)
+            unique, first, number = np.unique(W.span_hash(W.prefix(part), start, end), return_index=True, return_inverse=True)
+            hashes.append(unique)
+            starts.append(start[first] + off[a])
+            sizes.append((end - start)[first])
+            numbers.append(number.astype(np.int32))
+        self.bounds = np.concatenate([*bounds, [n_words]]).astype(np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        unique, first, number = np.unique(every, return_index=True, return_inverse=True)
+        number = number.astype(np.int32)
+        before = np.cumsum([0, *map(len, hashes)])
+        self.number = np.concatenate([np.zeros(0, np.int32), *[number[k : k + len(h)][n] for k, h, n in zip(before, hashes, numbers)]])
         self.row = (unique >> np.uint64(64 - _BITS)).astype(np.int64)
-        size = (ends - starts)[first]
-        # each word between two marks
-        at = np.cumsum(size + 2) - (size + 2)
-        marked = np.ones(int((size + 2).sum()), np.uint8)
-        if len(size):
-            marked[_expand(at + 1, size)] = buf[_expand(starts[first], size)]
-            marked[at + size + 1] = 2
-        pre = W.prefix(marked)
+        start, size = (np.concatenate([np.zeros(0, np.int64), *v])[first] for v in (starts, sizes))
         counts = [np.maximum(size + 2 - n + 1, 0) for n in _GRAMS]
         self.n_grams = sum(counts)
         self.begin = np.cumsum(self.n_grams) - self.n_grams
         self.gram = np.empty(int(self.n_grams.sum()), np.int32)
         for k in range(0, len(size), _PIECE):
             mine = slice(k, k + _PIECE)
+            # each word between two marks
+            wide = size[mine] + 2
+            at = np.cumsum(wide) - wide
+            marked = np.ones(int(wide.sum()), np.uint8)
+            marked[_expand(at + 1, size[mine])] = W.LOWER[buf[_expand(start[mine], size[mine])]]
+            marked[at + wide - 1] = 2
+            pre = W.prefix(marked)
             place = self.begin[mine].copy()
             for n, count in zip(_GRAMS, counts):
-                s = _expand(at[mine], count[mine])
+                s = _expand(at, count[mine])
                 self.gram[_expand(place, count[mine])] = W.span_hash(pre, s, s + n) >> np.uint64(64 - _BITS)
                 place += count[mine]
 
@@ -93,10 +102,13 @@ class Words:
         n = 1 + np.maximum(0, -(-(n_words - size) // step))
         doc = np.repeat(np.arange(len(n_words)), n)
         first = self.bounds[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
-        at = first[:, None] + np.arange(size)
-        inside = at < self.bounds[doc + 1][:, None]
-        number = np.append(self.number, len(self))
-        return np.where(inside, number[np.where(inside, at, len(self.number))], len(self)).astype(np.int32), doc
+        out = np.empty((len(doc), size), np.int32)
+        number = np.append(self.number, np.int32(len(self)))
+        for k in range(0, len(doc), _PIECE):
+            mine = slice(k, k + _PIECE)
+            at = first[mine, None] + np.arange(size)
+            out[mine] = number[np.where(at < self.bounds[doc[mine] + 1][:, None], at, len(self.number))]
+        return out, doc
 
 
 def _init(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -185,12 +197,20 @@ class Network:
         pooled = np.einsum("bt,bth->bh", w, s)
         return pooled @ self.p["o"] + self.p["k"][0], (mask, s, steps, u, w, pooled)
 
-    def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        none = np.zeros((1, x.shape[1]), np.float32)
-        return {side: np.concatenate([x, none]) @ self.p[f"W{side}"] + self.p[f"c{side}"] for side in "fb"}
+    def gates(self, words: Words) -> dict[str, np.ndarray]:
+        """Gate inputs of every distinct word and, last, of no word."""
+        out = {side: np.empty((len(words) + 1, 3 * _HIDDEN), np.float32) for side in "fb"}
+        for k in range(0, len(words), _PIECE):
+            used = np.arange(k, min(k + _PIECE, len(words)))
+            x = self.inputs(words, used)
+            for side, g in out.items():
+                g[used] = x @ self.p[f"W{side}"] + self.p[f"c{side}"]
+        for side, g in out.items():
+            g[-1] = self.p[f"c{side}"]
+        return out
 
     def logits(self, words: Words, at: np.ndarray, batch: int = 512) -> np.ndarray:
-        gates = self.gates(self.inputs(words))
+        gates = self.gates(words)
         return np.concatenate([self.forward(gates, at[k : k + batch])[0] for k in range(0, len(at), batch)] or [np.zeros(0)])
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -260,8 +280,8 @@ class Network:
 def _texts_with(words: Words, kind: np.ndarray, n_kinds: int) -> dict[str, np.ndarray]:
     """In how many texts of each kind every number of a word or n-gram stands; a few texts at a time."""
     out = {name: np.zeros((n_kinds, 1 << _BITS), np.int32) for name in ("word", "char")}
-    for a in range(0, len(kind), 100):
-        b = min(a + 100, len(kind))
+    for a in range(0, len(kind), 20):
+        b = min(a + 20, len(kind))
         lo, hi = words.bounds[a], words.bounds[b]
         doc = np.repeat(np.arange(b - a), np.diff(words.bounds[a : b + 1]))
         pairs = np.unique(doc * np.int64(max(1, len(words))) + words.number[lo:hi])
@@ -282,7 +302,7 @@ def _odds(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
     return np.maximum(0, (ratio - 2 * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))) / 2).astype(np.float32)
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, rule: ToxicityRule = ToxicityRule()) -> Network:
+def train(texts: list[str] | pa.Array | pa.ChunkedArray, toxic: np.ndarray, share: float, rule: ToxicityRule = ToxicityRule()) -> Network:
     """A network from a bounded sample; ``share`` is the share of toxic texts among all that are labelled.
 
     While a text trains the network, its words' odds come from the other half of the texts. Embeddings
@@ -295,7 +315,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rule: ToxicityRule
         net.slope, net.shift = 0.0, float(prior)
         return net
     rng = np.random.default_rng(rule.seed)
-    words = Words(*W.flat(pa.array(texts, pa.string())))
+    words = Words(*W.flat(pa.array(texts, pa.string()) if isinstance(texts, list) else texts))
     at, doc = words.windows(rule.window, rule.step)
     begin = np.searchsorted(doc, np.arange(len(texts)))
     half, aside = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
@@ -396,7 +416,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, rule: ToxicityRule =
         .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         .toArrow().sort_by("doc_id")
     )
-    return train(rows["text"].to_pylist(), rows["toxic"].to_numpy(), 0.0 if share is None else share, rule)
+    finished(docs.sparkSession)  # the network trains beside the driver's JVM, which gives back what its queries left
+    return train(rows["text"], rows["toxic"].to_numpy(), 0.0 if share is None else share, rule)
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
