@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm import words as W
-from passagemill.llm.shared import cuts, drop_stored, finished, in_blocks, sizes, stored, text_bytes
+from passagemill.llm.shared import chunks, cuts, drop_stored, finished, in_blocks, sizes, stored, text_bytes
 
 #: Stand for the end of a text and for what precedes its first word; no word hashes to them but by chance.
 END, BEGIN = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
+_RUN, _PIECE = 1 << 19, 1 << 18  # bytes of texts, and tokens, that are worked on at once
 
 
 @dataclass(frozen=True)
@@ -74,37 +75,59 @@ class WordModel:
 
 
 def _tokens(texts: pa.Array, trains: np.ndarray) -> tuple:
-    """A block's tokens: sorted distinct words (END and BEGIN among them), each token's number, its row; counts in training rows."""
-    hashes, rows = [], []
-    for a, b, buf, off in W.parts(texts):
+    """A block's tokens: sorted distinct words (END and BEGIN among them), each token's number, its row; counts in training rows.
+
+    Words are found a run of texts at a time, so that only two 32-bit numbers stay of each token.
+    """
+    kinds, numbers, rows = [np.array([BEGIN, END])], [], []
+    for a, b, buf, off in W.parts(texts, _RUN):
         buf = W.LOWER[buf]
         starts, ends, doc = W.spans(buf, off)
-        h = W.span_hash(W.prefix(buf), starts, ends)
         bounds = np.searchsorted(doc, np.arange(1, b - a + 1))
-        hashes.append(np.insert(h, bounds, END))
-        rows.append(np.insert(doc, bounds, np.arange(b - a)) + a)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    words, number = np.unique(np.append(h, [BEGIN, END]), return_inverse=True)
-    number = number[:-2]
-    counted = np.bincount(number[trains[row]], minlength=len(words)).astype(np.uint32) if len(row) else np.zeros(len(words), np.uint32)
-    return words, number, row, counted
+        h, number = np.unique(np.insert(W.span_hash(W.prefix(buf), starts, ends), bounds, END), return_inverse=True)
+        kinds.append(h)
+        numbers.append(number.astype(np.int32))
+        rows.append((np.insert(doc, bounds, np.arange(b - a)) + a).astype(np.int32))
+    words, place = np.unique(np.concatenate(kinds), return_inverse=True)
+    place, begin = place.astype(np.int32), 2
+    counted = np.zeros(len(words), np.uint32)
+    for k, (h, number, row) in enumerate(zip(kinds[1:], numbers, rows)):
+        own = place[begin : begin + len(h)]
+        counted[own] += np.bincount(number[trains[row]], minlength=len(h)).astype(np.uint32)
+        numbers[k] = own[number]
+        begin += len(h)
+    none = np.zeros(0, np.int32)
+    return words, np.concatenate([none, *numbers]), np.concatenate([none, *rows]), counted
 
 
 def _pairs(words: np.ndarray, number: np.ndarray, row: np.ndarray, trains: np.ndarray) -> tuple:
     """Sorted distinct pair keys of a block, their counts in training rows, each token's pair, and a pair's context and word."""
+    code = np.empty(len(number), np.int64)
+    code[1:] = number[:-1]
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
-    before = np.concatenate([[0], number[:-1]]) if len(number) else number
-    before = np.where(first, np.searchsorted(words, BEGIN), before)
-    code, back = np.unique(before * np.int64(len(words)) + number, return_inverse=True)
-    left, right = code // len(words), code % len(words)
+    code[first] = np.searchsorted(words, BEGIN)
+    code *= len(words)
+    code += number
+    order = np.argsort(code)
+    code = code[order]
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    back = np.empty(len(code), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order
+    code = code[new]
+    left, right = (code // len(words)).astype(np.int32), (code % len(words)).astype(np.int32)
+    del code
     keys = W.mix(words[left] * np.uint64(0x9FB21C651E98DF25) + words[right])
     order = np.argsort(keys, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     back = place[back]
-    counted = np.bincount(back[trains[row]], minlength=len(code)).astype(np.uint32) if len(row) else np.zeros(len(code), np.uint32)
+    counted = np.zeros(len(keys), np.uint32)
+    for k in range(0, len(row), _PIECE):
+        used, n = np.unique(back[k : k + _PIECE][trains[row[k : k + _PIECE]]], return_counts=True)
+        counted[used] += n.astype(np.uint32)
     return keys[order], counted, back, left[order], right[order]
 
 
@@ -238,14 +261,19 @@ def score_documents(
         f = np.array([0.0, *[factor[r] for r in range(1, rule.trusted + 1)], 1.0])[np.minimum(pair_n, rule.trusted + 1)]
         seen = f * pair_n / np.maximum(1, context_n[left] + full[left])
         p_pair = np.log10(np.where(pair_n > 0, seen, np.abs(alpha[left]) * p_word[right]))
+        del seen, f, left, right, pair_n, keys
         p_base = np.log10((word_n + 0.1) / (tokens + 0.1 * (types + 1)))
         rows = part.num_rows
+        n_known, base_score, pair_score = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
+        edge = np.searchsorted(row, np.arange(rows + 1))
+        for a, b in chunks(np.diff(edge), _PIECE):  # whole texts, some at a time
+            mine, at = slice(edge[a], edge[b]), row[edge[a] : edge[b]] - a
+            n_known[a:b] = np.bincount(at, weights=word_n[number[mine]] > 0, minlength=b - a)
+            base_score[a:b] = np.bincount(at, weights=p_base[number[mine]], minlength=b - a)
+            pair_score[a:b] = np.bincount(at, weights=p_pair[pair_of[mine]], minlength=b - a)
         return pa.table([
-            part["doc_id"], part["trains"], pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-            pa.array(np.bincount(row, weights=word_n[number] > 0, minlength=rows).astype(np.int64)),
-            pa.array(np.full(rows, tokens, np.int64)),
-            pa.array(np.bincount(row, weights=p_base[number], minlength=rows)),
-            pa.array(np.bincount(row, weights=p_pair[pair_of], minlength=rows)),
+            part["doc_id"], part["trains"], pa.array(np.diff(edge).astype(np.int64)), pa.array(n_known),
+            pa.array(np.full(rows, tokens, np.int64)), pa.array(base_score), pa.array(pair_score),
         ], names=names)
 
     # the words come again with their weights, so only the counts of pairs are read here
