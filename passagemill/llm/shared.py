@@ -77,61 +77,53 @@ def drop_stored(df: DataFrame) -> None:
 class Lookup:
     """A fixed map from 64-bit keys to values, asked for whole arrays at a time.
 
-    Keys sit in a few open tables; a key whose slot is taken moves to the next, smaller
-    table, and the last few are searched in sorted order.
+    Keys sit in a few open tables of 32-bit places; a key whose slot is taken moves to the next, smaller
+    table, and the last few are searched in sorted order. Keys and values themselves are held once.
     """
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray, missing: tuple = ()):
-        keys = np.asarray(keys, np.uint64)
+        self.keys, self.values = np.asarray(keys, np.uint64), values
         self.levels: list[tuple] = []
         self.missing = missing or tuple(0 for _ in values)
-        self.dtypes = [v.dtype for v in values]
-        left = np.arange(len(keys))
+        left = np.arange(len(self.keys), dtype=np.int32)
         odd = 0x9E3779B97F4A7C15
         for _ in range(3):
             if not len(left):
                 break
             bits = max(4, int(np.ceil(np.log2(len(left) * 4))))
             mult, shift = np.uint64(odd), np.uint64(64 - bits)
-            slot = (keys[left] * mult) >> shift
+            slot = (self.keys[left] * mult) >> shift
             at, first = np.unique(slot, return_index=True)
-            own = np.zeros(1 << bits, np.uint64)
-            used = np.zeros(1 << bits, bool)
-            own[at], used[at] = keys[left[first]], True
-            cols = []
-            for v in values:
-                col = np.zeros(1 << bits, v.dtype)
-                col[at] = v[left[first]]
-                cols.append(col)
-            self.levels.append((mult, shift, own, used, cols))
+            place = np.full(1 << bits, -1, np.int32)
+            place[at] = left[first]
+            self.levels.append((mult, shift, place))
             left = np.delete(left, first)
             odd = (odd * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
-        order = left[np.argsort(keys[left], kind="stable")]
-        self.rest = (keys[order], [v[order] for v in values])
+        self.rest = left[np.argsort(self.keys[left], kind="stable")]
 
     def __call__(self, asked: np.ndarray) -> list[np.ndarray]:
-        out = [np.full(len(asked), m, d) for m, d in zip(self.missing, self.dtypes)]
+        found = np.full(len(asked), -1, np.int32)
         todo = None
-        for mult, shift, own, used, cols in self.levels:
+        for mult, shift, place in self.levels:
             q = asked if todo is None else asked[todo]
-            slot = (q * mult) >> shift
-            taken = used[slot]
-            hit = taken & (own[slot] == q)
-            at = np.flatnonzero(hit)
+            own = place[(q * mult) >> shift]
+            at = np.flatnonzero(own >= 0)  # an empty slot proves that the key is in no table
+            own = own[at]
             where = at if todo is None else todo[at]
-            for o, c in zip(out, cols):
-                o[where] = c[slot[at]]
-            open_ = np.flatnonzero(taken & ~hit)  # an empty slot proves that the key is in no table
-            todo = open_ if todo is None else todo[open_]
+            hit = self.keys[own] == q[at]
+            found[where[hit]] = own[hit]
+            todo = where[~hit]
             if not len(todo):
-                return out
-        keys, cols = self.rest
-        if len(keys) and todo is not None and len(todo):
-            q = asked[todo]
+                break
+        if len(self.rest) and todo is not None and len(todo):
+            q, keys = asked[todo], self.keys[self.rest]
             at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
             hit = keys[at] == q
-            for o, c in zip(out, cols):
-                o[todo[hit]] = c[at[hit]]
+            found[todo[hit]] = self.rest[at[hit]]
+        at = np.flatnonzero(found >= 0)
+        out = [np.full(len(asked), m, v.dtype) for m, v in zip(self.missing, self.values)]
+        for o, v in zip(out, self.values):
+            o[at] = v[found[at]]
         return out
 
 
