@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import stored
 
 OBJECT, ARRAY = "map<string,variant>", "array<variant>"
 _STEP = "\x1f"  # a path is its steps, each behind this character; the step of an array is empty
 _EXACT = 10**38
+_LEVELS = 4  # of nesting opened in one pass
 
 
 def _scalar(value: Column, wanted: Any) -> Column:
@@ -69,13 +71,16 @@ def contains(column: Column, pattern: Any) -> Column:
 
 def _leaf_text(value: Column) -> Column:
     """A scalar with its type; null for objects and arrays. Equal scalars have equal texts."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(F.is_variant_null(value), F.lit("z"))
-        .when(kind == "BOOLEAN", F.concat(F.lit("b"), F.try_variant_get(value, "$", "string")))
-        .when(kind == "STRING", F.concat(F.lit("s"), F.try_variant_get(value, "$", "string")))
-        .when(~kind.rlike("^(OBJECT|ARRAY)"), F.concat(F.lit("n"), (F.try_variant_get(value, "$", "double") + F.lit(0.0)).cast("string")))
-    )
+
+    def text(kind: Column) -> Column:
+        return (
+            F.when(F.is_variant_null(value), F.lit("z"))
+            .when(kind == "BOOLEAN", F.concat(F.lit("b"), F.try_variant_get(value, "$", "string")))
+            .when(kind == "STRING", F.concat(F.lit("s"), F.try_variant_get(value, "$", "string")))
+            .when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.concat(F.lit("n"), (F.try_variant_get(value, "$", "double") + F.lit(0.0)).cast("string")))
+        )
+
+    return let(F.schema_of_variant(value), text)
 
 
 def _leaf_texts(pattern: Any, path: str = "") -> Iterator[tuple[str, Column]]:
@@ -93,33 +98,53 @@ def _leaf_hash(path: Column, text: Column) -> Column:
     return F.xxhash64(path, text)
 
 
+def _item(path: Column, value: Column) -> Column:
+    return F.struct(path.alias("path"), value.alias("value"), _leaf_text(value).alias("text"))
+
+
+def _inner(item: Column) -> Column:
+    """The items directly inside an object or array."""
+    fields = F.transform(
+        F.map_entries(F.try_variant_get(item["value"], "$", OBJECT)),
+        lambda e: _item(F.concat(item["path"], F.lit(_STEP), e["key"]), e["value"]),
+    )
+    items = F.transform(
+        F.try_variant_get(item["value"], "$", ARRAY), lambda v: _item(F.concat(item["path"], F.lit(_STEP)), v)
+    )
+    return F.coalesce(fields, items)
+
+
 def leaf_index(rows: DataFrame, key: str, column: str, parts: int = 64) -> DataFrame:
-    """(part, leaf, key): the distinct scalars of every row's JSON with their paths, as hashes.
+    """(part, leaf, key): the scalars of every row's JSON with their paths, as hashes; distinct where keys are.
 
-    Levels of nesting are opened one after another until none is left; every level is stored, so the work of a level
-    is done once. Written partitioned by ``part`` (``write_leaf_index``), a search reads the parts of its leaves alone.
+    Some levels of nesting are opened inside a row, in one pass and without a shuffle. What is nested deeper becomes rows that are
+    opened in the same way, until none is left. Every pass is stored, so its work is done once. Written
+    partitioned by ``part`` (``write_leaf_index``), a search reads the parts of its leaves alone.
     """
     level = rows.select(key, F.lit("").alias("_path"), F.try_parse_json(column).alias("_value")).filter("_value IS NOT NULL")
-    found = None
+    passes: list[DataFrame] = []
     while True:
-        leaves = level.select(key, _leaf_hash(F.col("_path"), _leaf_text(F.col("_value"))).alias("leaf")).filter(_leaf_text(F.col("_value")).isNotNull())
-        found = leaves if found is None else found.unionByName(leaves)
-        fields = F.transform(
-            F.map_entries(F.try_variant_get("_value", "$", OBJECT)),
-            lambda e: F.struct(F.concat(F.col("_path"), F.lit(_STEP), e["key"]).alias("path"), e["value"].alias("value")),
-        )
-        items = F.transform(
-            F.try_variant_get("_value", "$", ARRAY),
-            lambda v: F.struct(F.concat(F.col("_path"), F.lit(_STEP)).alias("path"), v.alias("value")),
+        opened = level.select(key, F.array(_item(F.col("_path"), F.col("_value"))).alias("_0"))
+        for depth in range(1, _LEVELS + 1):
+            boxes = F.filter(f"_{depth - 1}", lambda item: item["text"].isNull())
+            opened = opened.withColumn(f"_{depth}", F.flatten(F.transform(boxes, _inner)))
+        found = F.concat(*[
+            F.transform(F.filter(f"_{depth}", lambda item: item["text"].isNotNull()), lambda item: _leaf_hash(item["path"], item["text"]))
+            for depth in range(_LEVELS + 1)
+        ])
+        deeper = F.transform(
+            F.filter(f"_{_LEVELS}", lambda item: item["text"].isNull()),
+            lambda item: F.struct(item["path"].alias("path"), F.to_json(item["value"]).alias("json")),
         )
-        kind = F.schema_of_variant("_value")
-        opened = F.when(kind.startswith("OBJECT"), fields).when(kind.startswith("ARRAY"), items)
-        level = level.filter(kind.rlike("^(OBJECT|ARRAY)")).select(key, F.explode(opened).alias("_e"))
-        level = stored(level.select(key, F.col("_e.path").alias("_path"), F.to_json("_e.value").alias("_json")), "json_level")
+        done = stored(opened.select(key, F.array_distinct(found).alias("leaves"), deeper.alias("deeper")), "json_leaves")
+        passes.append(done.select(key, F.explode("leaves").alias("leaf")))
+        level = done.filter(F.size("deeper") > 0).select(key, F.explode("deeper").alias("_e"))
         if level.isEmpty():
             break
-        level = level.select(key, "_path", F.parse_json("_json").alias("_value"))
-    return found.distinct().select(F.pmod("leaf", F.lit(parts)).cast("int").alias("part"), "leaf", key)
+        level = level.select(key, F.col("_e.path").alias("_path"), F.parse_json("_e.json").alias("_value"))
+    # a path is as long as its scalar is deep, so that only the later passes can repeat a leaf of a row
+    found = passes[0] if len(passes) == 1 else passes[0].unionByName(reduce(DataFrame.unionByName, passes[1:]).distinct())
+    return found.select(F.pmod("leaf", F.lit(parts)).cast("int").alias("part"), "leaf", key)
 
 
 def write_leaf_index(rows: DataFrame, key: str, column: str, path: str, parts: int = 64) -> None:
@@ -141,6 +166,8 @@ def containing(rows: DataFrame, key: str, column: str, pattern: Any, index: Data
             hashed = spark.range(1).select(*[_leaf_hash(F.lit(path), text).alias(f"h{i}") for i, (path, text) in enumerate(leaves)])
             wanted = sorted(set(hashed.first()))
             hits = index.filter(F.col("part").isin([h % parts for h in wanted]) & F.col("leaf").isin(wanted))
-            candidates = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(wanted))
-            rows = rows.join(candidates.select(key), key, "left_semi")
+            candidates = hits.groupBy(key).agg(F.count_distinct("leaf").alias("_n")).filter(F.col("_n") == len(wanted))
+            # a condition on both sides is not moved below the join, where it would parse every row
+            verified = F.when(F.col("_n") == len(wanted), contains(F.col(column), pattern))
+            return rows.join(candidates, key).filter(verified).select(*rows.columns)
     return rows.filter(contains(F.col(column), pattern))

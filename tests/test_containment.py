@@ -89,3 +89,27 @@ def test_a_scalar_repeated_in_a_text_counts_once(spark):
     index = leaf_index(rows, "id", "meta")
     assert index.groupBy("id").count().orderBy("id").select(F.collect_list("count")).first()[0] == [1, 2]
     assert [r["id"] for r in containing(rows, "id", "meta", {"a": [1, 2]}, index).collect()] == [2]
+
+
+def test_shallow_texts_are_indexed_without_a_shuffle(spark, rows):
+    plan = leaf_index(rows, "id", "meta")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan
+
+
+def test_only_candidates_are_parsed(spark, rows, index):
+    found = containing(rows, "id", "meta", {"a": [2]}, index, parts=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Join", 1)[1].split("\n", 1)[1]
+    assert "SchemaOfVariant" in plan and "SchemaOfVariant" not in below
+
+
+@pytest.mark.parametrize("depth", range(1, 14))
+def test_leaves_at_any_depth(spark, depth):
+    deep = [[5, 5, "x"]]
+    for _ in range(depth):
+        deep = {"k": [deep, deep, 1]}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, "{}")], "id long, meta string")
+    index = leaf_index(rows, "id", "meta")
+    # a 1 for every box but the same path at each depth, and two scalars inside
+    assert index.count() == index.distinct().count() == depth + 2
+    assert [r["id"] for r in containing(rows, "id", "meta", deep, index).collect()] == [1]

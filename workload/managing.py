@@ -10,7 +10,7 @@ from passagemill.operators import lifecycle as life
 from passagemill.operators.containment import containing, write_leaf_index
 from passagemill.operators import registry as reg
 from passagemill.schemas import JOB_STATUSES
-from passagemill.session import new_run_dir
+from passagemill.session import new_run_dir, spread
 from passagemill.streaming.answers import use_rocksdb
 from passagemill.streaming import status as live
 from passagemill.streaming.status import stream_latest_status, stream_status_view
@@ -195,7 +195,7 @@ def nested_metadata(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.struct(name.alias("type"), (F.col("event_id") % 5).alias("level")), F.struct(F.lit("none").alias("type"), F.lit(0).cast("long").alias("level"))).alias("steps"),
         (F.col("event_id") % 2 == 0).alias("even"), F.lit(None).cast("string").alias("note"), F.lit(1.5).alias("a.b'c"),
     ), {"ignoreNullFields": "false"})
-    return table(spark, sf, "events").select("event_id", meta.alias("metadata"))
+    return spread(table(spark, sf, "events"), "event_id").select("event_id", meta.alias("metadata"))
 
 
 # The name of the last field has a dot and a quote.
