@@ -40,25 +40,42 @@ class _Release(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "seq long", "text string, ends boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        following, ended = self.place.get() if self.place.exists() else (0, False)
+        following, ended = self.place.get() or (0, False)
         if ended:
             return  # whatever comes after the end, or has waited beyond it, is dropped
+        held = self.waiting.exists()
         for part in rows:
-            for seq, text, ends in part[["seq", "text", "ends"]].itertuples(index=False, name=None):
-                if seq >= following:
-                    self.waiting.updateValue((int(seq),), (None if pd.isna(text) else text, bool(ends)))
-        out = []
-        while not ended and self.waiting.containsKey((following,)):
-            text, ended = self.waiting.getValue((following,))
-            self.waiting.removeKey((following,))
-            if text and not ended:
-                out.append((key[0], following, text))
-            following += 1
-        if ended:
+            # what the numbers at hand release never goes through the state: each call there is a message to the JVM
+            arrived = {
+                int(seq): (None if pd.isna(text) else text, bool(ends))
+                for seq, text, ends in part[["seq", "text", "ends"]].itertuples(index=False, name=None)
+                if seq >= following
+            }
+            out = []
+            while not ended:
+                waited = held and self.waiting.containsKey((following,))
+                if following in arrived:
+                    text, ended = arrived.pop(following)
+                elif waited:
+                    text, ended = self.waiting.getValue((following,))
+                else:
+                    break
+                if waited:
+                    self.waiting.removeKey((following,))
+                if text and not ended:
+                    out.append((key[0], following, text))
+                following += 1
+            if not ended:
+                held = held or bool(arrived)
+                for seq, entry in arrived.items():
+                    self.waiting.updateValue((seq,), entry)
+            if out:
+                yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
+            if ended:
+                break
+        if ended and held:
             self.waiting.clear()
         self.place.update((following, ended))
-        if out:
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
     def close(self) -> None:
         pass
@@ -89,25 +106,31 @@ class _Fold(StatefulProcessor):
         self.deltas = handle.getMapState("deltas", "seq long", "text string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start = (-1, None, -1, None, 0, False)
-        error_at, message, cited_at, cited, n, done = self.facts.get() if self.facts.exists() else start
+        known = self.facts.get()
+        error_at, message, cited_at, cited, n, done = known or (-1, None, -1, None, 0, False)
+        arrived: dict[int, str] = {}
         for part in rows:
             for seq, kind, text, said, data in part[["seq", "type", "text", "message", "cited"]].itertuples(index=False, name=None):
                 seq = int(seq)
                 if kind == "delta":
-                    n += not self.deltas.containsKey((seq,))
-                    self.deltas.updateValue((seq,), ("" if pd.isna(text) else text,))
+                    arrived[seq] = "" if pd.isna(text) else text
                 elif kind == "error" and seq >= error_at:
                     error_at, message = seq, None if pd.isna(said) else said
                 elif kind == "citations" and seq >= cited_at:
                     cited_at, cited = seq, None if pd.isna(data) else data
                 elif kind == "done":
                     done = True
+        # each call to the state is a message to the JVM: a stream's first deltas need not be looked up or read back
+        before = n
+        for seq, text in arrived.items():
+            n += not (before and self.deltas.containsKey((seq,)))
+            self.deltas.updateValue((seq,), (text,))
         self.facts.update((error_at, message, cited_at, cited, n, done))
         if error_at >= 0:
             answer = message
         else:
-            answer = "".join(text for _, text in sorted((k[0], v[0]) for k, v in self.deltas.iterator()))
+            said_so_far = ((k[0], v[0]) for k, v in self.deltas.iterator()) if before else arrived.items()
+            answer = "".join(text for _, text in sorted(said_so_far))
             if not n and done:
                 answer = EMPTY_ANSWER
         yield pd.DataFrame(

@@ -35,10 +35,11 @@ class _View(StatefulProcessor):
         self.gone = handle.getValueState("gone", "at long, event_id long", self.grace_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        had = self.newest.get() if self.newest.exists() else None
+        had = self.newest.get()
         before = had and had[:2]
-        if self.gone.exists():
-            before = max(before or (-(1 << 63), 0), self.gone.get())
+        gone = self.gone.get() if had is None else None  # what is shown is newer than any removal
+        if gone:
+            before = gone
         best = None
         for part in rows:
             for at, event, status, error in part[["at", "event_id", "status", "error_message"]].itertuples(index=False, name=None):

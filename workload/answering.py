@@ -23,6 +23,9 @@ from .standins import WS, strip_sql, table, with_ctes
 
 TURN = ["conv_id", "turn", "role", "text"]
 
+# Files of a micro-batch, as stored; their rows are sorted by stream outside memory.
+MICRO_BATCH_BYTES = 256 * 1024 * 1024
+
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(*TURN)
@@ -121,6 +124,7 @@ def framed_answers(spark: SparkSession, sf: str) -> DataFrame:
     inputs = _answers(spark, sf).drop("error").join(refused, "question_id").select("question_id", "citations", "answer", "error")
     deltas = q.select("question_id", F.posexplode(words).alias("seq", "text"))
     ends = q.select("question_id", F.size(words).alias("n_deltas"), F.when(size % 7 == 1, code).alias("message"))
+    inputs = stored(inputs, "answers")
     streams = [arriving(spark, f"{root}/{name}", rows) for name, rows in (("inputs", inputs), ("deltas", deltas), ("ends", ends))]
     events = drained(stream_answer_events(*streams), root)
     return events.select(
@@ -294,11 +298,15 @@ SENTENCES_SQL = sentences_sql("documents", "doc_id").replace("CAST(unnest(range(
 
 
 def arriving(spark: SparkSession, root: str, rows: DataFrame, parts: int = 3) -> DataFrame:
-    """Rows as a file stream that arrives out of order, a third at a time."""
+    """Rows as a file stream that arrives out of order, a third at a time.
+
+    A micro-batch is bounded by its bytes: each one opens all state partitions, so a bound by files would make their
+    number grow with the partitions of ``rows`` instead of their size. ``rows`` are read once for each part.
+    """
     for part in range(parts):
         share = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) == part)
         share.write.mode("append").parquet(f"{root}/in")
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8)
+    reader = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", MICRO_BATCH_BYTES)
     return reader.parquet(f"{root}/in")
 
 
