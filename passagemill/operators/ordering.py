@@ -29,9 +29,12 @@ def concat_in_order(
     """One row per key: its texts joined in order. Null texts count as empty."""
     keys = list(keys)
     value = F.coalesce(F.col(text), F.lit(""))
+    # Rows move before they are collected: lists made before the move are as large, and sorting for them spills.
+    rows = df.select(*keys, _run_no(order, span).alias("_run"), F.col(order).alias("_at"), value.alias("_text"))
     runs = (
-        df.groupBy(*keys, _run_no(order, span).alias("_run"))
-        .agg(F.collect_list(F.struct(F.col(order).alias("at"), value.alias("text"))).alias("_rows"))
+        rows.repartition(*keys, "_run")
+        .groupBy(*keys, "_run")
+        .agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_text").alias("text"))).alias("_rows"))
         .select(*keys, "_run", F.array_join(_sorted_texts(F.col("_rows")), separator).alias("_text"))
     )
     return (

@@ -116,6 +116,13 @@ def test_hot_keys_in_runs(spark):
                 assert carried[(k, r[1])] == last
 
 
+def test_rows_move_before_they_are_collected(spark):
+    """Lists made on the map side are as large as their rows and sort, and spill, when a task has many keys."""
+    df = spark.createDataFrame([("a", 0, "x")], "k string, at long, t string")
+    plan = concat_in_order(df, ["k"], "at", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "collect_list" not in plan[plan.rindex("Exchange hashpartitioning(k") :]
+
+
 RESULTS = "stream_id string, seq long, payload string, failed boolean"
 
 
