@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..functions.wording import shorten_error
 from ..schemas import PARSED_PAGE
+from ..session import BATCH_BYTES
 from .ordering import SPAN
 
 ParseFn = Callable[[bytes], list[str]]
@@ -20,11 +21,12 @@ def parse_files(files: DataFrame, make_parser: Callable[[], ParseFn]) -> DataFra
     """Run a user parser over (document_id, content): one row per page.
 
     The parser is built once per task. A file that raises yields one row with
-    the error, so that the other files go on.
+    the error, so that the other files go on. Pages of small files leave together: a frame for each file costs more than most parsers.
     """
 
     def pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = make_parser()
+        waiting, size = [], 0
         for batch in batches:
             for document_id, content in zip(batch["document_id"], batch["content"]):
                 try:
@@ -33,7 +35,13 @@ def parse_files(files: DataFrame, make_parser: Callable[[], ParseFn]) -> DataFra
                     rows = rows or [(document_id, 0, None, None)]
                 except Exception as exc:  # noqa: BLE001 - any parser failure belongs to its file
                     rows = [(document_id, 0, None, str(exc)[:1000])]
-                yield pd.DataFrame(rows, columns=PARSED_PAGE.names)
+                waiting += rows
+                size += sum(len(text or "") + 64 for _, _, text, _ in rows)
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(waiting, columns=PARSED_PAGE.names)
+                    waiting, size = [], 0
+        if waiting:
+            yield pd.DataFrame(waiting, columns=PARSED_PAGE.names)
 
     return files.select("document_id", "content").mapInPandas(pages_of, PARSED_PAGE)
 

@@ -272,3 +272,32 @@ def test_texts_reach_python_in_small_batches(spark):
     rows = spark.range(0, 2000, 1, 1).select(F.col("id").cast("string").alias("question_id"), F.repeat(F.lit("x"), 20_000).alias("question"))
     embed_questions(rows, EngineConfig())
     assert rows.select(together("question").alias("n")).agg(F.max("n")).first()[0] <= 4 * 1024 * 1024 + 20_000
+
+
+def test_pages_of_small_files_leave_together():
+    """One frame for each file cost most of the time of parsing; large texts still leave in bounded frames."""
+    import pandas as pd
+    from passagemill.operators.parse import parse_files
+    from passagemill.session import BATCH_BYTES
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return run
+
+    def parse(content):
+        if content == b"bad":
+            raise ValueError("no")
+        return [] if content == b"none" else [t.decode() for t in content.split(b"|")]
+
+    pages = parse_files(Files(), lambda: parse)
+    contents = [b"a|b", b"bad", b"none"] * 100
+    batch = pd.DataFrame({"document_id": [str(i) for i in range(300)], "content": contents})
+    frames = list(pages(iter([batch, batch])))
+    assert len(frames) == 1
+    assert [tuple(r) for r in frames[0].head(4).itertuples(index=False)] == [("0", 1, "a", None), ("0", 2, "b", None), ("1", 0, None, "no"), ("2", 0, None, None)]
+    assert len(frames[0]) == 800
+    large = pd.DataFrame({"document_id": list("abc"), "content": [b"x" * BATCH_BYTES] * 3})
+    assert [len(f) for f in pages(iter([large]))] == [1, 1, 1]
