@@ -301,3 +301,22 @@ def test_pages_of_small_files_leave_together():
     assert len(frames[0]) == 800
     large = pd.DataFrame({"document_id": list("abc"), "content": [b"x" * BATCH_BYTES] * 3})
     assert [len(f) for f in pages(iter([large]))] == [1, 1, 1]
+
+
+def test_known_words_cost_no_call():
+    import numpy as np
+    from passagemill.functions.vectors import HashedWords
+
+    class Counting(HashedWords):
+        calls = 0
+
+        def slot(self, word):
+            self.calls += 1
+            return super().slot(word)
+
+    every = "".join(f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    model = Counting(64)
+    assert every.lower().split() == model.word.findall(every.lower())
+    first = model(["one two three"] * 50)
+    assert model.calls == 3 and all(np.array_equal(v, first[0]) for v in first)
+    assert not model([" \x1c "])[0].any()
